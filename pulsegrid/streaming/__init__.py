@@ -1,0 +1,4 @@
+"""No streaming operators: every job of the study reads finished tables.
+
+The folder is kept so that the layout is complete; nothing is registered here.
+"""
