@@ -1 +1,8 @@
 """pulsegrid: event studies on time-stamped bars, expressed as Spark jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions travel with their code, so executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

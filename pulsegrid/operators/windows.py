@@ -56,10 +56,8 @@ def window_bars(bars: DataFrame, windows: DataFrame) -> DataFrame:
         "bar_day",
         F.explode(F.sequence(F.to_date("window_start_utc"), F.to_date("window_end_utc"))),
     )
-    keyed = bars.select(
-        "file_name_clean", "Time", "Open", "High", "Low", "Latest", "Volume",
-        F.to_date("Time").alias("bar_day"),
-    )
+    values = [c for c in ("Open", "High", "Low", "Latest", "Volume") if c in bars.columns]
+    keyed = bars.select("file_name_clean", "Time", *values, F.to_date("Time").alias("bar_day"))
     return (
         keyed.join(days, ["file_name_clean", "bar_day"])
         .where(F.col("Time").between(F.col("window_start_utc"), F.col("window_end_utc")))
@@ -67,7 +65,7 @@ def window_bars(bars: DataFrame, windows: DataFrame) -> DataFrame:
             *EVENT_KEYS,
             "window_name",
             *CLOCKS,
-            "Time", "Open", "High", "Low", "Latest", "Volume",
+            "Time", *values,
             S.minutes_between(F.col("event_time_utc"), F.col("Time")).alias("rel_event_minutes"),
         )
     )

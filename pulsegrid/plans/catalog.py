@@ -3,12 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulsegrid.operators import asof, audit, cleaning, quality, variation, windows
+from pulsegrid.config import WindowRules
+from pulsegrid.functions import scalars as S
+from pulsegrid.operators import (
+    asof,
+    audit,
+    cleaning,
+    fractional,
+    functional,
+    panel,
+    quality,
+    regression,
+    state,
+    variation,
+    windows,
+)
+from pulsegrid.plans import batteries
 from pulsegrid.plans import inputs as I
 from pulsegrid.plans.present import present
+from pulsegrid.session import durable
 from pulsegrid.sources import bars as bar_source
 from pulsegrid.sources import calendar
 
@@ -42,7 +59,8 @@ def hourly_candidates(t: I.Tables) -> DataFrame:
 
 
 def hourly_preferred(t: I.Tables) -> DataFrame:
-    return quality.preferred_contracts(hourly_candidates(t))
+    """Written once: later steps read it several times next to the bars."""
+    return durable(quality.preferred_contracts(hourly_candidates(t)))
 
 
 def hourly_windows(t: I.Tables) -> DataFrame:
@@ -270,3 +288,224 @@ def grid_returns_variation(t: I.Tables) -> DataFrame:
        "weekday_number", "clock_late", "year_number")
 def root_day_windows(t: I.Tables) -> DataFrame:
     return session_windows(t)
+
+
+# ---- release panel over sessions ----------------------------------------------------------------
+
+SESSION_WINDOWS = WindowRules(1440, 1.0, 5 * 1440, 3 * 1440, 1440, 4 * 1440, 5 * 1440, 2 * 1440, 0.60, 0.50, 4320.0)
+
+
+def session_preferred(t: I.Tables) -> DataFrame:
+    """Every session as a release of its chosen contract."""
+    at = F.col("pseudo_pr_datetime_utc")
+    later = S.shift_minutes(at, 1440)
+    return session_windows(t).select(
+        F.col("trade_date").alias("event_date"),
+        "trade_date",
+        F.concat(F.lit("ECB_"), F.date_format("trade_date", "yyyyMMdd")).alias("event_id"),
+        "root_code",
+        "file_name_clean",
+        F.lit("Z").alias("expiry_code"),
+        F.col("year_number").cast("double").alias("contract_year"),
+        at.alias("pr_datetime_local"),
+        later.alias("pc_datetime_local"),
+        at.alias("pr_datetime_utc"),
+        later.alias("pc_datetime_utc"),
+        F.lit(True).alias("prelim_eligible"),
+    )
+
+
+def session_wide(t: I.Tables) -> tuple[DataFrame, DataFrame]:
+    wins = durable(windows.event_windows(session_preferred(t), SESSION_WINDOWS))
+    inside = windows.window_bars(I.session_bars(t), wins)
+    return windows.wide_panel(windows.window_summary(wins, inside, SESSION_WINDOWS)), inside
+
+
+def session_baseline(t: I.Tables) -> DataFrame:
+    return panel.baseline_panel(session_wide(t)[0], I.session_surprises(t).drop("session"))
+
+
+def session_signal(t: I.Tables) -> DataFrame:
+    wide, inside = session_wide(t)
+    base = durable(panel.baseline_panel(wide, I.session_surprises(t).drop("session")))
+    placebo = windows.placebo_panel(inside, -5 * 1440, -1440)
+    return panel.signal_panel(base, placebo, panel.target_path_factors(base))
+
+
+SESSION_REGIMES = (date(1997, 1, 1), date(2000, 1, 1))
+
+
+def session_state(t: I.Tables) -> tuple[DataFrame, DataFrame]:
+    """(event state, long panel)."""
+    signal = durable(session_signal(t))
+    events = durable(state.event_state(signal, SESSION_REGIMES))
+    return events, state.long_state_panel(signal.drop("regime_app"), events)
+
+
+@query("event_date", "root_code", "PR_neg_share", "PR_pos_share", "log_PR_rv", "PR_semivariance_imbalance",
+       "PR_semivariance_ratio", "PR_signed_jump", "shock_target", "PR_n_obs_bars")
+def baseline_panel(t: I.Tables) -> DataFrame:
+    return session_baseline(t)
+
+
+@query()
+def match_summary(t: I.Tables) -> DataFrame:
+    return panel.match_summary(session_baseline(t), ["shock_target"])
+
+
+@query()
+def panel_report(t: I.Tables) -> DataFrame:
+    return panel.panel_report(session_baseline(t))
+
+
+@query("event_date", "root_code", "shock_target", "PR_signed_jump", "PR_rv")
+def largest_surprises(t: I.Tables) -> DataFrame:
+    rows = session_baseline(t)
+    return quality.top_rows(rows, [F.desc_nulls_last(F.abs("shock_target")), F.asc("event_date"), F.asc("root_code")])
+
+
+@query("event_date", "root_code", "pre_PR_rv", "pre_PR_rsv_neg", "PR_abs_jump", "asinh_PR_rv", "shock_target_10bp",
+       "abs_target_10bp", "shock_pos_10bp", "shock_neg_mag_10bp", "shock_target_x_gg")
+def signal_panel(t: I.Tables) -> DataFrame:
+    return session_signal(t)
+
+
+@query()
+def target_path_factors(t: I.Tables) -> DataFrame:
+    return panel.target_path_factors(session_baseline(t))
+
+
+@query()
+def target_path_factors_rows(t: I.Tables) -> DataFrame:
+    return panel.target_path_factors(session_baseline(t), row_scaled=True)
+
+
+@query("event_date", "shock_target_10bp", "state_pre_rv", "state_pre_rsvneg", "state_pre_absjump", "lag1_target_10bp",
+       "lag2_target_10bp", "ma3_target_10bp", "ma3_abs_target_10bp", "cumabs_target_10bp", "lag1_pre_rv_state",
+       "lag1_pre_rsvneg_state", "cum_target_within_regime_10bp", "shock_target_10bp_z", "state_pre_rv_z",
+       "ma3_target_10bp_z", "regime_preapp", "regime_app", "regime_hike")
+def event_state_vector(t: I.Tables) -> DataFrame:
+    return session_state(t)[0]
+
+
+@query("event_date", "root_code", "target_x_hike", "target_x_preRV", "target_x_memory", "target_x_preRSVneg")
+def long_state_panel(t: I.Tables) -> DataFrame:
+    return session_state(t)[1]
+
+
+@query("event_date", "root_code", "directional_var", "dispersion_var", "directional_share", "asinh_directional_var",
+       "asinh_dispersion_var")
+def volatility_components(t: I.Tables) -> DataFrame:
+    return panel.component_panel(session_baseline(t))
+
+
+# ---- regression batteries -----------------------------------------------------------------------
+
+
+def fitted_battery(rows: DataFrame, models: list[regression.Model]) -> DataFrame:
+    return durable(regression.cluster_ols(rows, models))
+
+
+@query("model_name", "term", "beta", "se", "t_stat", "n_obs", "n_clusters", "r2")
+def cluster_ols_simple(t: I.Tables) -> DataFrame:
+    simple = [m for m in batteries.SIGNAL if len(m.terms) == 1]
+    return regression.coefficients(regression.cluster_ols(durable(session_signal(t)), simple))
+
+
+@query()
+def signal_models(t: I.Tables) -> DataFrame:
+    return regression.coefficients(regression.cluster_ols(durable(session_signal(t)), batteries.SIGNAL))
+
+
+@query()
+def state_models(t: I.Tables) -> DataFrame:
+    return regression.coefficients(regression.cluster_ols(durable(session_state(t)[1]), batteries.STATE))
+
+
+@query()
+def state_model_summary(t: I.Tables) -> DataFrame:
+    return regression.model_summary(regression.cluster_ols(durable(session_state(t)[1]), batteries.STATE))
+
+
+@query()
+def marginal_effects(t: I.Tables) -> DataFrame:
+    fitted = regression.cluster_ols(durable(session_state(t)[1]), batteries.STATE)
+    return regression.linear_effects(fitted, regression.state_effects())
+
+
+def purified(t: I.Tables) -> tuple[DataFrame, DataFrame]:
+    events, rows = session_state(t)
+    shocks = durable(functional.purify_shocks(events))
+    return shocks, functional.purified_panel(rows, shocks)
+
+
+@query()
+def shock_purification(t: I.Tables) -> DataFrame:
+    return purified(t)[0]
+
+
+@query()
+def purification_summary(t: I.Tables) -> DataFrame:
+    return functional.purification_summary(purified(t)[0])
+
+
+@query()
+def purified_models(t: I.Tables) -> DataFrame:
+    fitted = regression.cluster_ols(durable(purified(t)[1]), batteries.PURIFIED)
+    return regression.coefficients(fitted)
+
+
+@query()
+def purified_effects(t: I.Tables) -> DataFrame:
+    fitted = regression.cluster_ols(durable(purified(t)[1]), batteries.PURIFIED)
+    return regression.linear_effects(fitted, regression.state_effects("shock_purified_10bp", "target_purified"))
+
+
+@query()
+def component_models(t: I.Tables) -> DataFrame:
+    rows = durable(panel.component_panel(session_state(t)[1]))
+    return regression.coefficients(regression.cluster_ols(rows, batteries.COMPONENTS))
+
+
+def session_bipower(t: I.Tables) -> DataFrame:
+    rows = durable(session_state(t)[1])
+    targets = rows.select("event_date", "root_code", "file_name_clean", "pr_datetime_utc",
+                          F.lit(6).alias("n_bars_target"))
+    bars = asof.asof_bars(targets, I.session_bars(t))[0]
+    return rows.join(variation.bipower_components(bars), ["event_date", "root_code"], "left")
+
+
+@query()
+def bipower_models(t: I.Tables) -> DataFrame:
+    return regression.coefficients(regression.cluster_ols(durable(session_bipower(t)), batteries.BIPOWER))
+
+
+@query("base", "outcome", "threshold_c", "n_left", "n_right", "n_obs", "n_clusters", "r2", "adj_r2")
+def threshold_search(t: I.Tables) -> DataFrame:
+    return functional.threshold_search(durable(session_state(t)[1]), batteries.FUNCTIONAL)
+
+
+@query()
+def threshold_slopes(t: I.Tables) -> DataFrame:
+    fitted = functional.threshold_search(durable(session_state(t)[1]), batteries.FUNCTIONAL)
+    return regression.linear_effects(fitted, functional.THRESHOLD_EFFECTS)
+
+
+@query()
+def spline_slopes(t: I.Tables) -> DataFrame:
+    return functional.spline_fits(durable(session_state(t)[1]), batteries.FUNCTIONAL)[1]
+
+
+@query()
+def fractional_logit(t: I.Tables) -> DataFrame:
+    return fractional.fractional_logit(durable(session_state(t)[1]), batteries.FRACTIONAL)[0]
+
+
+@query()
+def fractional_summary(t: I.Tables) -> DataFrame:
+    return fractional.fractional_logit(durable(session_state(t)[1]), batteries.FRACTIONAL)[1]
+
+
+@query()
+def fractional_diagnostics(t: I.Tables) -> DataFrame:
+    return fractional.fractional_logit(durable(session_state(t)[1]), batteries.FRACTIONAL)[2]
