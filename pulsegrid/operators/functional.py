@@ -130,8 +130,7 @@ def threshold_search(
         ],
         "model_name string, outcome string, terms array<string>",
     )
-    per_cluster = R.gram(vectors, ["model_name", "cluster"])
-    fitted = R.fits(per_cluster.groupBy("model_name", "i", "j").agg(F.sum("v").alias("v")), spec)
+    fitted = R.fits(R.gram(vectors, ["model_name"]), spec)
     order = Window.partitionBy("base").orderBy("sse", "model_name")
     best = (
         fitted.join(allowed, "model_name")
@@ -139,7 +138,7 @@ def threshold_search(
         .where("_r = 1")
         .drop("_r", "n")
     )
-    scores = R.cluster_scores(per_cluster.join(best.select("model_name"), "model_name", "left_semi"), best)
+    scores = R.cluster_scores(vectors, best)
     full = R.with_covariance(best.drop("base", "threshold_c", "n_left", "n_right"), R.score_products(scores))
     return full.join(best.select("model_name", "base", "threshold_c", "n_left", "n_right"), "model_name")
 
@@ -175,7 +174,7 @@ def spline_fits(
         [(n, y, ["Intercept", q, "shock_target_10bp", "shock_x_q", "root_gg", *spline]) for n, y, q in models],
         "model_name string, outcome string, terms array<string>",
     )
-    fitted = R.cluster_fit(R.gram(vectors, ["model_name", "cluster"]), spec)
+    fitted = R.cluster_fit(vectors, spec)
     points = where.withColumnRenamed("base", "model_name").withColumn(
         "state_value", F.explode(F.array(*[F.lit(g) for g in grid]))
     )

@@ -1,9 +1,9 @@
 """Batteries of regressions as aggregates of sufficient statistics.
 
-All models of a battery are fitted in one pass. Each complete row of each model becomes a vector
-(1, regressors, outcome); its cross products are summed per (model, cluster) in Spark, with map-side
-combining, and everything else follows from those sums: coefficients, cluster scores, fits that leave
-a group out. Only the k x k solve runs in NumPy, once per model.
+All models of a battery are fitted together. Each complete row of each model becomes a vector
+(1, regressors, outcome). Cross products are summed per model in Spark, with map-side combining; a second
+pass sums scores per (model, cluster). Fits that leave a group out subtract that group's cross products.
+Only the k x k solve runs in NumPy, once per model.
 """
 
 from __future__ import annotations
@@ -135,19 +135,15 @@ def no_nan(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles})
 
 
-def cluster_scores(per_cluster: DataFrame, fitted: DataFrame) -> DataFrame:
-    """Score vector of every (model, cluster): its cross products times (-beta, 1)."""
-    coef = fitted.select(
-        "model_name",
-        F.posexplode(F.concat(F.transform("beta", lambda b: -b), F.array(F.lit(1.0)))).alias("j", "c"),
-    )
-    size = fitted.select("model_name", F.size("beta").alias("k"))
+def cluster_scores(rows: DataFrame, fitted: DataFrame) -> DataFrame:
+    """Score vector of every (model, cluster): its vectors times their residuals, summed."""
+    coef = fitted.select("model_name", "beta")
     return (
-        per_cluster.join(coef, ["model_name", "j"])
+        rows.join(coef, "model_name")
+        .select("model_name", "cluster", (F.col("y") - dot(F.col("x"), F.col("beta"))).alias("u"),
+                F.posexplode("x").alias("i", "xi"))
         .groupBy("model_name", "cluster", "i")
-        .agg(F.sum(F.col("v") * F.col("c")).alias("s"))
-        .join(size, "model_name")
-        .where("i < k")
+        .agg(F.sum(F.col("xi") * F.col("u")).alias("s"))
         .groupBy("model_name", "cluster")
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "s"))), lambda e: e["s"]).alias("score"))
     )
@@ -197,14 +193,13 @@ def with_covariance(fitted: DataFrame, products: DataFrame, clustered: bool = Tr
 
 def cluster_ols(panel: DataFrame, models: list[Model]) -> DataFrame:
     """Fits of a battery with cluster-robust covariance; t tests use clusters - 1 degrees of freedom."""
-    per_cluster = gram(design(panel, models), ["model_name", "cluster"])
-    return cluster_fit(per_cluster, battery(panel, models))
+    return cluster_fit(design(panel, models), battery(panel, models))
 
 
-def cluster_fit(per_cluster: DataFrame, spec: DataFrame) -> DataFrame:
-    total = per_cluster.groupBy("model_name", "i", "j").agg(F.sum("v").alias("v"))
-    fitted = fits(total, spec)
-    return with_covariance(fitted, score_products(cluster_scores(per_cluster, fitted)))
+def cluster_fit(rows: DataFrame, spec: DataFrame) -> DataFrame:
+    """Two passes over the rows: cross products per model, then scores per cluster."""
+    fitted = fits(gram(rows, ["model_name"]), spec)
+    return with_covariance(fitted, score_products(cluster_scores(rows, fitted)))
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))

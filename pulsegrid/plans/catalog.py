@@ -25,6 +25,7 @@ from pulsegrid.operators import (
 from pulsegrid.plans import batteries
 from pulsegrid.plans import inputs as I
 from pulsegrid.plans.present import present
+from pulsegrid.plans.stages import stage
 from pulsegrid.session import durable
 from pulsegrid.sources import bars as bar_source
 from pulsegrid.sources import calendar
@@ -58,9 +59,9 @@ def hourly_candidates(t: I.Tables) -> DataFrame:
     return quality.contract_candidates(hourly_days(t), hourly_events(t), I.HOURLY_SELECTION)
 
 
+@stage
 def hourly_preferred(t: I.Tables) -> DataFrame:
-    """Written once: later steps read it several times next to the bars."""
-    return durable(quality.preferred_contracts(hourly_candidates(t)))
+    return quality.preferred_contracts(hourly_candidates(t))
 
 
 def hourly_windows(t: I.Tables) -> DataFrame:
@@ -270,6 +271,7 @@ def session_candidates(t: I.Tables) -> DataFrame:
     )
 
 
+@stage
 def session_windows(t: I.Tables) -> DataFrame:
     """Chosen contract per session and root with the session's own calendar columns."""
     rows = variation.root_day_windows(session_candidates(t))
@@ -295,6 +297,7 @@ def root_day_windows(t: I.Tables) -> DataFrame:
 SESSION_WINDOWS = WindowRules(1440, 1.0, 5 * 1440, 3 * 1440, 1440, 4 * 1440, 5 * 1440, 2 * 1440, 0.60, 0.50, 4320.0)
 
 
+@stage
 def session_preferred(t: I.Tables) -> DataFrame:
     """Every session as a release of its chosen contract."""
     at = F.col("pseudo_pr_datetime_utc")
@@ -316,28 +319,30 @@ def session_preferred(t: I.Tables) -> DataFrame:
 
 
 def session_wide(t: I.Tables) -> tuple[DataFrame, DataFrame]:
-    wins = durable(windows.event_windows(session_preferred(t), SESSION_WINDOWS))
+    wins = windows.event_windows(session_preferred(t), SESSION_WINDOWS)
     inside = windows.window_bars(I.session_bars(t), wins)
     return windows.wide_panel(windows.window_summary(wins, inside, SESSION_WINDOWS)), inside
 
 
+@stage
 def session_baseline(t: I.Tables) -> DataFrame:
     return panel.baseline_panel(session_wide(t)[0], I.session_surprises(t).drop("session"))
 
 
+@stage
 def session_signal(t: I.Tables) -> DataFrame:
-    wide, inside = session_wide(t)
-    base = durable(panel.baseline_panel(wide, I.session_surprises(t).drop("session")))
-    placebo = windows.placebo_panel(inside, -5 * 1440, -1440)
+    base = session_baseline(t)
+    placebo = windows.placebo_panel(session_wide(t)[1], -5 * 1440, -1440)
     return panel.signal_panel(base, placebo, panel.target_path_factors(base))
 
 
 SESSION_REGIMES = (date(1997, 1, 1), date(2000, 1, 1))
 
 
+@stage
 def session_state(t: I.Tables) -> tuple[DataFrame, DataFrame]:
     """(event state, long panel)."""
-    signal = durable(session_signal(t))
+    signal = session_signal(t)
     events = durable(state.event_state(signal, SESSION_REGIMES))
     return events, state.long_state_panel(signal.drop("regime_app"), events)
 
@@ -402,37 +407,34 @@ def volatility_components(t: I.Tables) -> DataFrame:
 # ---- regression batteries -----------------------------------------------------------------------
 
 
-def fitted_battery(rows: DataFrame, models: list[regression.Model]) -> DataFrame:
-    return durable(regression.cluster_ols(rows, models))
-
-
 @query("model_name", "term", "beta", "se", "t_stat", "n_obs", "n_clusters", "r2")
 def cluster_ols_simple(t: I.Tables) -> DataFrame:
     simple = [m for m in batteries.SIGNAL if len(m.terms) == 1]
-    return regression.coefficients(regression.cluster_ols(durable(session_signal(t)), simple))
+    return regression.coefficients(regression.cluster_ols(session_signal(t), simple))
 
 
 @query()
 def signal_models(t: I.Tables) -> DataFrame:
-    return regression.coefficients(regression.cluster_ols(durable(session_signal(t)), batteries.SIGNAL))
+    return regression.coefficients(regression.cluster_ols(session_signal(t), batteries.SIGNAL))
 
 
 @query()
 def state_models(t: I.Tables) -> DataFrame:
-    return regression.coefficients(regression.cluster_ols(durable(session_state(t)[1]), batteries.STATE))
+    return regression.coefficients(regression.cluster_ols(session_state(t)[1], batteries.STATE))
 
 
 @query()
 def state_model_summary(t: I.Tables) -> DataFrame:
-    return regression.model_summary(regression.cluster_ols(durable(session_state(t)[1]), batteries.STATE))
+    return regression.model_summary(regression.cluster_ols(session_state(t)[1], batteries.STATE))
 
 
 @query()
 def marginal_effects(t: I.Tables) -> DataFrame:
-    fitted = regression.cluster_ols(durable(session_state(t)[1]), batteries.STATE)
+    fitted = regression.cluster_ols(session_state(t)[1], batteries.STATE)
     return regression.linear_effects(fitted, regression.state_effects())
 
 
+@stage
 def purified(t: I.Tables) -> tuple[DataFrame, DataFrame]:
     events, rows = session_state(t)
     shocks = durable(functional.purify_shocks(events))
@@ -451,13 +453,13 @@ def purification_summary(t: I.Tables) -> DataFrame:
 
 @query()
 def purified_models(t: I.Tables) -> DataFrame:
-    fitted = regression.cluster_ols(durable(purified(t)[1]), batteries.PURIFIED)
+    fitted = regression.cluster_ols(purified(t)[1], batteries.PURIFIED)
     return regression.coefficients(fitted)
 
 
 @query()
 def purified_effects(t: I.Tables) -> DataFrame:
-    fitted = regression.cluster_ols(durable(purified(t)[1]), batteries.PURIFIED)
+    fitted = regression.cluster_ols(purified(t)[1], batteries.PURIFIED)
     return regression.linear_effects(fitted, regression.state_effects("shock_purified_10bp", "target_purified"))
 
 
@@ -467,8 +469,9 @@ def component_models(t: I.Tables) -> DataFrame:
     return regression.coefficients(regression.cluster_ols(rows, batteries.COMPONENTS))
 
 
+@stage
 def session_bipower(t: I.Tables) -> DataFrame:
-    rows = durable(session_state(t)[1])
+    rows = session_state(t)[1]
     targets = rows.select("event_date", "root_code", "file_name_clean", "pr_datetime_utc",
                           F.lit(6).alias("n_bars_target"))
     bars = asof.asof_bars(targets, I.session_bars(t))[0]
@@ -477,35 +480,40 @@ def session_bipower(t: I.Tables) -> DataFrame:
 
 @query()
 def bipower_models(t: I.Tables) -> DataFrame:
-    return regression.coefficients(regression.cluster_ols(durable(session_bipower(t)), batteries.BIPOWER))
+    return regression.coefficients(regression.cluster_ols(session_bipower(t), batteries.BIPOWER))
 
 
 @query("base", "outcome", "threshold_c", "n_left", "n_right", "n_obs", "n_clusters", "r2", "adj_r2")
 def threshold_search(t: I.Tables) -> DataFrame:
-    return functional.threshold_search(durable(session_state(t)[1]), batteries.FUNCTIONAL)
+    return functional.threshold_search(session_state(t)[1], batteries.FUNCTIONAL)
 
 
 @query()
 def threshold_slopes(t: I.Tables) -> DataFrame:
-    fitted = functional.threshold_search(durable(session_state(t)[1]), batteries.FUNCTIONAL)
+    fitted = functional.threshold_search(session_state(t)[1], batteries.FUNCTIONAL)
     return regression.linear_effects(fitted, functional.THRESHOLD_EFFECTS)
 
 
 @query()
 def spline_slopes(t: I.Tables) -> DataFrame:
-    return functional.spline_fits(durable(session_state(t)[1]), batteries.FUNCTIONAL)[1]
+    return functional.spline_fits(session_state(t)[1], batteries.FUNCTIONAL)[1]
+
+
+@stage
+def fractional_fits(t: I.Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return fractional.fractional_logit(session_state(t)[1], batteries.FRACTIONAL)
 
 
 @query()
 def fractional_logit(t: I.Tables) -> DataFrame:
-    return fractional.fractional_logit(durable(session_state(t)[1]), batteries.FRACTIONAL)[0]
+    return fractional_fits(t)[0]
 
 
 @query()
 def fractional_summary(t: I.Tables) -> DataFrame:
-    return fractional.fractional_logit(durable(session_state(t)[1]), batteries.FRACTIONAL)[1]
+    return fractional_fits(t)[1]
 
 
 @query()
 def fractional_diagnostics(t: I.Tables) -> DataFrame:
-    return fractional.fractional_logit(durable(session_state(t)[1]), batteries.FRACTIONAL)[2]
+    return fractional_fits(t)[2]
