@@ -23,6 +23,7 @@ from pulsegrid.operators.spectrum import (
     spectrum_of_means,
     with_coords,
 )
+from pulsegrid.session import durable
 
 KEYS = ["scenario", "draw"]
 FEATURES = ("feature_log_fx_pre", "feature_log_gg_pre", "feature_pre_corr", "slow_fx", "slow_gg")
@@ -203,13 +204,15 @@ def common_support(rows: DataFrame) -> DataFrame:
 
 def supported_matches(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(support rows per event with reason codes, matches of retained events with places taken)."""
-    rows = with_coords(rows)
-    caliper = distance_caliper(rows)
+    rows = durable(with_coords(rows).select(*KEYS, "source_id", "trade_date", "is_event", "clock_late", "weekday_number",
+                                            "year_number", "w", "z", "coords"))
+    caliper = durable(distance_caliper(rows))
     events = rows.where("is_event").select(*KEYS, "source_id", "trade_date", "clock_late", "weekday_number", "year_number", "coords", F.col("w").alias("ew"))
-    in_box = events.join(common_support(rows), [*KEYS, "source_id"])
+    in_box = durable(events.join(common_support(rows), [*KEYS, "source_id"]))
     pairs = _reached(
         _candidate_pairs(in_box.where("inside_quantile_box"), rows.where("not is_event")), "source_id"
     ).join(caliper, KEYS)
+    pairs = durable(pairs.drop("coords", "c", "trade_date"))
     within = F.col("distance") <= F.col("caliper")
     counts = pairs.groupBy(*KEYS, "source_id").agg(
         F.sum("cw").alias("n_exact_candidates"),
@@ -225,12 +228,12 @@ def supported_matches(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(F.col("n_within") < NEIGHBOURS, "distance_caliper")
         .otherwise("retained")
     )
-    support = in_box.join(counts, [*KEYS, "source_id"], "left").join(caliper, KEYS, "left").select(
+    support = durable(in_box.join(counts, [*KEYS, "source_id"], "left").join(caliper, KEYS, "left").select(
         *KEYS, "source_id", "trade_date", "ew", "inside_quantile_box", n.alias("n_exact_candidates"),
         F.when(enough, F.col("n_within")).otherwise(0).alias("n_within_caliper"), F.col("caliper").alias("distance_caliper"),
         F.when(enough, F.col("d1")).alias("nearest_distance"), F.when(enough, F.col("d10")).alias("tenth_distance"),
         reason.alias("reason"),
-    ).withColumn("retained", F.col("reason") == "retained")
+    ).withColumn("retained", F.col("reason") == "retained"))
     take = F.least(F.col("cw"), F.lit(NEIGHBOURS) - (F.col("upto") - F.col("cw")))
     matches = pairs.withColumn("take", take).where("take > 0").join(
         support.where("retained").select(*KEYS, "source_id"), [*KEYS, "source_id"], "left_semi"
@@ -262,9 +265,14 @@ CORRECTED = ("corrected_11", "corrected_12", "corrected_22")
 
 
 def estimate(samples: DataFrame) -> dict[str, DataFrame]:
-    """All tables of the estimator for every (scenario, draw) in ``samples``."""
-    rows, diagnostics = continuation(standardised(samples))
+    """All tables of the estimator for every (scenario, draw) in ``samples``.
+
+    Tables that several later steps read are written once.
+    """
+    rows, diagnostics = continuation(durable(standardised(samples)))
+    rows = durable(rows)
     support, matches = supported_matches(rows)
+    matches = durable(matches)
     events = corrected_events(rows, support, matches)
     return {"rows": rows, "diagnostics": diagnostics, "support": support, "matches": matches, "events": events,
             "spectrum": spectrum_of_means(events, KEYS, CORRECTED, "w")}

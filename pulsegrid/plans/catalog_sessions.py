@@ -299,15 +299,7 @@ def resolution_samples(t: I.Tables) -> DataFrame:
 @stage
 def resolution_point(t: I.Tables) -> tuple[DataFrame, dict[str, DataFrame]]:
     samples = resolution_samples(t)
-    rows, diagnostics = resolution.continuation(resolution.standardised(samples))
-    rows = durable(rows)
-    support, matches = resolution.supported_matches(rows)
-    support, matches = durable(support), durable(matches)
-    events = durable(resolution.corrected_events(rows, support, matches))
-    return samples, {
-        "rows": rows, "diagnostics": diagnostics, "support": support, "matches": matches, "events": events,
-        "spectrum": durable(spectrum.spectrum_of_means(events, resolution.KEYS, resolution.CORRECTED, "w")),
-    }
+    return samples, resolution.estimate(samples)
 
 
 @query()
@@ -332,16 +324,21 @@ def matching_balance(t: I.Tables) -> DataFrame:
     return matching.balance(point["rows"], point["matches"], resolution.KEYS, list(resolution.FEATURE_NAMES)).drop("draw")
 
 
-@query()
-def resolution_bootstrap(t: I.Tables) -> DataFrame:
+@stage
+def resolution_draws(t: I.Tables) -> DataFrame:
     samples, point = resolution_point(t)
     return resolution.bootstrap(samples, point["spectrum"], RESOLUTION_DRAWS, SEED, SESSION_MIN_EVENTS)
 
 
+@query()
+def resolution_bootstrap(t: I.Tables) -> DataFrame:
+    return resolution_draws(t)
+
+
 @stage
 def resolution_tables(t: I.Tables) -> DataFrame:
-    samples, point = resolution_point(t)
-    boot = durable(resolution.bootstrap(samples, point["spectrum"], RESOLUTION_DRAWS, SEED, SESSION_MIN_EVENTS))
+    _, point = resolution_point(t)
+    boot = resolution_draws(t)
     fake = resolution.placebo(point["rows"], point["matches"], DRAWS, SEED)
     return resolution.scenario_summary(point, boot, fake)
 
