@@ -33,14 +33,22 @@ def _at(rows: DataFrame, betas: dict[str, np.ndarray]) -> DataFrame:
 
 def _evaluate(rows: DataFrame, betas: dict[str, np.ndarray]) -> dict[str, tuple[float, np.ndarray]]:
     """Log likelihood and weighted cross products (information and score) per model."""
-    here = _at(rows, betas).withColumn("w", F.greatest(F.col("mu") * (1 - F.col("mu")), F.lit(1e-12)))
-    working = here.withColumn("y", (F.col("y") - F.col("mu")) / F.col("w"))
-    sums = R.gram(working, ["model_name"], F.col("w"))
+    w = F.greatest(F.col("mu") * (1 - F.col("mu")), F.lit(1e-12))
     m = F.least(F.greatest(F.col("mu"), F.lit(1e-12)), F.lit(1 - 1e-12))
-    ll = here.groupBy("model_name").agg(
-        F.sum(F.col("y") * F.log(m) + (1 - F.col("y")) * F.log(1 - m)).alias("v")
+    here = _at(rows, betas).select(
+        "model_name", w.alias("w"), F.concat("x", F.array((F.col("y") - F.col("mu")) / w)).alias("z"),
+        (F.col("y") * F.log(m) + (1 - F.col("y")) * F.log(1 - m)).alias("ll"),
+    )
+    # Products and likelihood leave in one explode, so a step is one scan and one exchange.
+    entry = lambda i, j, v: F.struct(i.alias("i"), j.alias("j"), v.alias("v"))
+    products = F.flatten(F.transform("z", lambda a, i: F.transform("z", lambda b, j: entry(i, j, F.col("w") * a * b))))
+    likelihood = F.array(entry(F.lit(-1), F.lit(-1), F.col("ll")))
+    got = (
+        here.select("model_name", F.explode(F.concat(products, likelihood)).alias("e"))
+        .groupBy("model_name", "e.i", "e.j")
+        .agg(F.sum("e.v").alias("v"))
+        .toPandas()
     )
-    got = sums.unionByName(ll.select("model_name", F.lit(-1).alias("i"), F.lit(-1).alias("j"), "v")).toPandas()
     out = {}
     for name, g in got.groupby("model_name"):
         body = g[g["i"] >= 0]

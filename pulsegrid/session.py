@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,18 +24,28 @@ def build_session(app: str = "pulsegrid", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which every executor of a cluster can reach.
+
+    Only a local master may do without the setting; its executors live on this machine.
+    """
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="pulsegrid-tables-")
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` through the checkpoint folder of the session.
+    """Write the table to the shared folder and read it back.
 
-    On a cluster the folder comes from ``spark.checkpoint.dir`` and must be shared; a machine-local
-    folder is only chosen for a local master, where it survives as long as the executors do.
+    The lineage is cut, lost executors cost nothing, and later plans know the real size of the table, so
+    a join ships it only when it is small.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            shared = tempfile.mkdtemp(prefix="pulsegrid-checkpoint-")
-        sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
