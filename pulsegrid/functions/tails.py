@@ -29,7 +29,8 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     return h
 
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    return np.array([math.lgamma(v) for v in np.ravel(x)]).reshape(np.shape(x))
 
 
 def beta_cdf(a, b, x) -> np.ndarray:
@@ -72,6 +73,3 @@ def t_critical(df, level: float = 0.95) -> np.ndarray:
         low, high = np.where(wide, mid, low), np.where(wide, high, mid)
     return (low + high) / 2.0
 
-
-def normal_two_sided(z) -> np.ndarray:
-    return np.vectorize(lambda v: math.erfc(abs(v) / math.sqrt(2.0)), otypes=[float])(z)

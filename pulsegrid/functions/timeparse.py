@@ -53,8 +53,11 @@ def _parse(df: DataFrame, column: str, formats: tuple[str, ...]) -> Column:
     if kind in ("timestamp", "timestamp_ntz", "date"):
         return F.col(column).cast("timestamp_ntz")
     if kind != "string":
-        seconds = F.round(F.col(column).cast("double") * 86400).cast("int")
-        return F.timestamp_add("SECOND", seconds, F.lit(SERIAL_ORIGIN).cast("timestamp_ntz"))
+        serial = F.col(column).cast("double")
+        whole = F.floor(serial)
+        seconds = F.round((serial - whole) * 86400).cast("int")
+        midnight = F.date_add(F.lit(SERIAL_ORIGIN).cast("date"), whole.cast("int")).cast("timestamp_ntz")
+        return F.timestamp_add("SECOND", seconds, midnight)
     return read_as(F.col(column), best_format(df, column, formats))
 
 

@@ -243,7 +243,7 @@ def stacked_models(rows: DataFrame, spec: DataFrame, min_events: int = 30) -> tu
 def energy_ranks(windows: DataFrame, q: str = "q_target") -> DataFrame:
     """Event dates by falling shock energy; equal energies keep date order.
 
-    Ranks are counted from the distinct energies, so no single task orders the events.
+    The ranking sees one row per event date, so the calendar bounds it.
     """
     per = windows.where(F.col("is_event") & F.col(q).isNotNull()).groupBy("trade_date").agg(
         F.min_by(q, "root_code").alias("energy")

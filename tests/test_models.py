@@ -91,12 +91,20 @@ def test_threshold_brute_force(panel):
     assert np.isclose(row["threshold_c"], best[1]) and np.isclose(row["sse"], best[0])
 
 
-def test_spline_slope_at_grid(panel):
+def test_spline_slopes(panel):
     fit, slopes = functional.spline_fits(panel, [("s", "y", "state_pre_rv_z")])
-    b = fit.first()["beta"]
-    low = slopes.where("state_value = -2.0").first()
-    q = np.sort(np.unique(panel.toPandas()["state_pre_rv_z"]))
-    assert np.isclose(low["estimate"], b[2] - 2 * b[3] + sum(b[5 + i] * max(-2 - k, 0) ** 3 for i, k in enumerate(q[:0])), atol=0.2)
+    pdf = panel.toPandas()
+    q = np.sort(np.unique(pdf["state_pre_rv_z"]))
+    def at(p):
+        pos = len(q) * p + 0.5
+        return q[int(np.floor(pos)) - 1] + (pos - np.floor(pos)) * (q[int(np.ceil(pos)) - 1] - q[int(np.floor(pos)) - 1])
+    basis = lambda v: [np.maximum(v - at(p), 0) ** 3 for p in (0.25, 0.5, 0.75)]
+    z, x = pdf["state_pre_rv_z"].to_numpy(), pdf["shock_target_10bp"].to_numpy()
+    design = np.column_stack([np.ones(len(pdf)), z, x, x * z, pdf["root_gg"], *[x * b for b in basis(z)]])
+    b = np.linalg.lstsq(design, pdf["y"], rcond=None)[0]
+    assert np.allclose(fit.first()["beta"], b, atol=1e-6)
+    got = slopes.where("state_value = 1.5").first()
+    assert np.isclose(got["estimate"], b[2] + 1.5 * b[3] + sum(w * v for w, v in zip(b[5:], basis(1.5))))
 
 
 def test_fractional_logit(panel):
