@@ -71,11 +71,13 @@ def newton(rows: DataFrame, sizes: dict[str, int]) -> dict[str, dict]:
         active = rows.where(F.col("model_name").isin(list(step)))
         tried = {m: beta[m] + s for m, s in step.items()}
         for m, (ll, g) in _evaluate(active, tried).items():
-            if ll < state[m][0] and halvings[m] < MAX_HALVINGS:
+            small = np.abs(step[m]).max() < TOLERANCE * (1 + np.abs(beta[m]).max())
+            # A loss within the rounding of a distributed sum is no loss: the step is at its optimum.
+            lost = ll < state[m][0] - 1e-12 * (1 + abs(state[m][0]))
+            if lost and not small and halvings[m] < MAX_HALVINGS:
                 step[m] = step[m] / 2
                 halvings[m] += 1
                 continue
-            small = np.abs(step[m]).max() < TOLERANCE * (1 + np.abs(beta[m]).max())
             beta[m], state[m], halvings[m] = tried[m], (ll, g), 0
             if small or count[m] >= MAX_STEPS:
                 done[m] = {"beta": beta[m], "loglik": ll, "gram": g, "converged": bool(small), "steps": count[m]}
