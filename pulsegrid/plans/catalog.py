@@ -38,7 +38,12 @@ def query(*columns: str):
     """Register a plan over the tables under its function name."""
 
     def wrap(plan: Callable[[I.Tables], DataFrame]):
-        QUERIES[plan.__name__] = lambda spark, folder: present(plan(I.Tables(spark, folder)), *columns)
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            # Differences of zone-neutral times must not see the clock changes of a session zone.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return present(plan(I.Tables(spark, folder)), *columns)
+
+        QUERIES[plan.__name__] = run
         return plan
 
     return wrap

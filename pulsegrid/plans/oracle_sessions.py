@@ -350,3 +350,28 @@ SELECT scenario, trade_date, inside AS inside_quantile_box, nc AS n_exact_candid
     WHEN nw < 10 THEN 'distance_caliper' ELSE 'retained' END AS reason FROM rsup0""")
 twin("common_support_matching", "scenario:s trade_date:s inside_quantile_box:b n_exact_candidates:i n_within_caliper:i distance_caliper:f "
      "nearest_distance:f tenth_distance:f retained:b reason:s", "rsup")
+
+# ---- purified shocks: two regressors in closed form ---------------------------------------------
+
+cte("spf0", """
+SELECT event_date, shock_target_10bp AS y, regime_hike AS a, state_pre_rv_z AS b FROM sst
+WHERE shock_target_10bp IS NOT NULL AND state_pre_rv_z IS NOT NULL""")
+cte("spf1", """
+SELECT count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, sum(a * a) - count(*) * avg(a) * avg(a) AS saa,
+  sum(b * b) - count(*) * avg(b) * avg(b) AS sbb, sum(a * b) - count(*) * avg(a) * avg(b) AS sab,
+  sum(a * y) - count(*) * avg(a) * avg(y) AS say, sum(b * y) - count(*) * avg(b) * avg(y) AS sby FROM spf0""")
+cte("spf2", """
+SELECT *, saa * sbb - sab * sab AS det, (sbb * say - sab * sby) / (saa * sbb - sab * sab) AS ba,
+  (saa * sby - sab * say) / (saa * sbb - sab * sab) AS bb FROM spf1""")
+cte("spf3", """
+SELECT event_date, y, my + ba * (a - ma) + bb * (b - mb) AS fit,
+  1 / n + (sbb * (a - ma) * (a - ma) - 2 * sab * (a - ma) * (b - mb) + saa * (b - mb) * (b - mb)) / det AS h FROM spf0, spf2""")
+cte("spf", """
+SELECT event_date, y AS shock_target_10bp, fit AS shock_pred_in, y - fit AS shock_resid_in, y - (y - fit) / (1 - h) AS shock_pred_loo,
+  (y - fit) / (1 - h) AS shock_resid_loo FROM spf3""")
+twin("shock_purification", "event_date:s shock_target_10bp:f shock_pred_in:f shock_resid_in:f shock_pred_loo:f shock_resid_loo:f", "spf")
+cte("spfs", """
+SELECT count(*) AS n_events, 1 - sum(shock_resid_in * shock_resid_in) / (var_samp(shock_target_10bp) * (count(*) - 1)) AS r2_in_sample,
+  1 - sum(shock_resid_loo * shock_resid_loo) / (var_samp(shock_target_10bp) * (count(*) - 1)) AS r2_leave_one_out,
+  avg(abs(shock_resid_loo)) AS mean_abs_resid_loo, stddev_samp(shock_resid_loo) AS sd_resid_loo FROM spf""")
+twin("purification_summary", "n_events:i r2_in_sample:f r2_leave_one_out:f mean_abs_resid_loo:f sd_resid_loo:f", "spfs")
