@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pulsegrid.llm import line_dedup, mixing
+from pulsegrid.llm import language_id, line_dedup, mixing, packing
 
 QUERIES = {
+    "op4_packing": packing.query,
+    "op6_language_id": language_id.query,
     "op8_source_mixing": mixing.query,
     "op9_line_dedup": line_dedup.query,
 }
