@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pulsegrid.llm import language_id, line_dedup, mixing, packing
+from pulsegrid.llm import language_id, line_dedup, mixing, packing, suffix_dedup, toxicity
 
 QUERIES = {
+    "op2_suffix_dedup": suffix_dedup.query,
     "op4_packing": packing.query,
     "op6_language_id": language_id.query,
+    "op7_toxicity": toxicity.query,
     "op8_source_mixing": mixing.query,
     "op9_line_dedup": line_dedup.query,
 }

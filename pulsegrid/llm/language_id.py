@@ -95,9 +95,13 @@ def cluster(vectors: np.ndarray, count: int) -> np.ndarray:
 def training_rows(docs: DataFrame, eligible: Column, per_language: int) -> DataFrame:
     """(doc_id, text, lang) of about ``per_language`` eligible rows of each language."""
     known = docs.where(eligible & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    totals = known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    # One number per language reaches the driver, so that no text is shuffled to be chosen.
+    totals = {r.lang: r.rows for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).collect()}
     share = F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    return known.join(totals, "lang").where(share * F.col("rows") < per_language).select("doc_id", "text", "lang")
+    if not totals:
+        return known.select("doc_id", "text", "lang")
+    rates = F.create_map(*[F.lit(x) for lang, rows in sorted(totals.items()) for x in (lang, per_language / rows)])
+    return known.where(share < rates[F.col("lang")]).select("doc_id", "text", "lang")
 
 
 def fit(docs: DataFrame, eligible: Column, per_language: int = PER_LANGUAGE) -> Centroids:
