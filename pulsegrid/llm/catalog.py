@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pulsegrid.llm import language_id, line_dedup, mixing, packing, suffix_dedup, toxicity
+from pulsegrid.llm import edit_embedding, language_id, line_dedup, mixing, ngram_join, packing, suffix_dedup, toxicity
 
 QUERIES = {
     "op2_suffix_dedup": suffix_dedup.query,
+    "op3_edit_embedding": edit_embedding.query,
     "op4_packing": packing.query,
     "op6_language_id": language_id.query,
     "op7_toxicity": toxicity.query,
     "op8_source_mixing": mixing.query,
     "op9_line_dedup": line_dedup.query,
+    "op10_ngram_join": ngram_join.query,
 }
 SQL = {
     "op8_source_mixing": mixing.SQL,

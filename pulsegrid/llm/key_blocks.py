@@ -24,7 +24,7 @@ from pulsegrid.llm.common import LAST_ID
 from pulsegrid.session import shared_folder
 
 #: Text in a block; more of it means fewer, larger packed rows and more memory in a task.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BLOCKS = "block long, ids binary, lengths binary, data binary, n_bytes long"
 ANSWERS = "block long, kind int, payload binary"
 PACKED = "part int, block long, kind int, payload binary"
@@ -74,11 +74,11 @@ def distinct(sorted_keys: np.ndarray) -> np.ndarray:
     return sorted_keys[np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])] if len(sorted_keys) else sorted_keys
 
 
-def by_part(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
-    """(part, from, to) of sorted keys; a part is a range of the key's upper bits."""
+def by_part(keys: np.ndarray, bits: int, width: int = 64) -> Iterator[tuple[int, int, int]]:
+    """(part, from, to) of sorted keys of ``width`` bits; a part is a range of the key's upper bits."""
     if not len(keys):
         return
-    bounds = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(0, dtype=np.uint64)
+    bounds = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(width - bits) if bits else np.zeros(0, dtype=np.uint64)
     cuts = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
     for part in np.flatnonzero(np.diff(cuts)):
         yield int(part), int(cuts[part]), int(cuts[part + 1])
@@ -159,12 +159,29 @@ def map_blocks(blocks: DataFrame, each: Callable[[int, Block, list[tuple[int, by
     return joined.mapInArrow(over, schema)
 
 
-def send_keys(number: int, keys: np.ndarray, bits: int) -> dict[str, list]:
-    """Packed rows for a block's distinct sorted keys."""
-    rows = [(part, pack_sorted(keys[lo:hi])) for part, lo, hi in by_part(keys, bits)]
+def send_keys(number: int, classes: np.ndarray, bits: int) -> dict[str, list]:
+    """Packed rows for a block's classes, shortened to keys: fewer bits pack better, and a key that two blocks share by
+    chance only keeps a class that a later, exact step drops."""
+    keys = distinct(np.sort(short_keys(classes, bits)))
+    rows = [(part, pack_sorted(keys[lo:hi])) for part, lo, hi in by_part(keys, bits, key_width(bits))]
     return {"part": [p for p, _ in rows], "block": [number] * len(rows), "kind": [0] * len(rows), "payload": [b for _, b in rows]}
 
 
+def key_width(bits: int) -> int:
+    """Bits of a key that make chance matches about one in a thousand: a part holds some 2^22 keys, so ten more."""
+    return min(64, bits + 32)
+
+
+def short_keys(classes: np.ndarray, bits: int) -> np.ndarray:
+    return classes >> np.uint64(64 - key_width(bits))
+
+
+def held_twice(classes: np.ndarray, own: np.ndarray, answers: list[tuple[int, bytes]], bits: int) -> np.ndarray:
+    """Which classes another block holds as well, or occur twice among ``own``."""
+    elsewhere = union_sorted([unpack_sorted(p) for _, p in answers])
+    return in_sorted(elsewhere, short_keys(classes, bits)) | in_sorted(repeated(np.sort(own)), classes)
+
+
 def held_elsewhere(sent: DataFrame) -> DataFrame:
     """(block, kind, payload): the keys of each block that some other block sent as well."""
 

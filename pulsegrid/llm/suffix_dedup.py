@@ -33,17 +33,13 @@ from pulsegrid.llm.key_blocks import (
     PACKED,
     Block,
     by_part,
-    distinct,
     held_elsewhere,
-    in_sorted,
+    held_twice,
     map_blocks,
     pack_planes,
     part_bits,
-    repeated,
     send_keys,
-    union_sorted,
     unpack_planes,
-    unpack_sorted,
     write_blocks,
 )
 
@@ -77,14 +73,13 @@ def cover_suffixes(block: Block, windows: Windows) -> tuple[np.ndarray, np.ndarr
 
 def send_cover(number: int, block: Block, bits: int) -> dict[str, list]:
     _, classes = cover_suffixes(block, Windows(block.data))
-    return send_keys(number, distinct(np.sort(classes)), bits)
+    return send_keys(number, classes, bits)
 
 
-def candidate_suffixes(block: Block, windows: Windows, elsewhere: np.ndarray) -> np.ndarray:
+def candidate_suffixes(block: Block, windows: Windows, answers: list[tuple[int, bytes]], bits: int) -> np.ndarray:
     """Starts of whole windows that hold a cover position whose class occurs twice."""
     positions, classes = cover_suffixes(block, windows)
-    twice = union_sorted([elsewhere, repeated(np.sort(classes))])
-    hit = positions[in_sorted(twice, classes)]
+    hit = positions[held_twice(classes, classes, answers, bits)]
     size = len(block.data) + 1
     open_at = np.bincount(np.maximum(hit - PERIOD + 1, 0), minlength=size) - np.bincount(hit + 1, minlength=size)
     return np.flatnonzero((np.cumsum(open_at[:-1]) > 0) & _marked(block, None, DEPTH))
@@ -135,11 +130,11 @@ def _running_minimum(tagged, steps, classes, spots, starts, lo, base):
     return classes[cell], spots[cell]
 
 
-def send_suffixes(number: int, block: Block, elsewhere: np.ndarray, bits: int) -> dict[str, list]:
+def send_suffixes(number: int, block: Block, answers: list[tuple[int, bytes]], bits: int) -> dict[str, list]:
     """Segments of the candidate suffixes for their buckets, and the stretches settled in the block."""
     rows: list[tuple[int, int, bytes]] = []
     windows = Windows(block.data)
-    starts = candidate_suffixes(block, windows, elsewhere)
+    starts = candidate_suffixes(block, windows, answers, bits)
     if len(starts):
         doc = np.searchsorted(block.ends, starts, side="right")
         late = earlier_in_group(windows.at(starts, DEPTH), block.ids[doc])
@@ -246,7 +241,7 @@ def dedup_passages(docs: DataFrame, digest_only: bool = False) -> DataFrame:
     elsewhere = held_elsewhere(cover)
 
     def suffixes(number, block, answers):
-        yield send_suffixes(number, block, union_sorted([unpack_sorted(p) for _, p in answers]), bits)
+        yield send_suffixes(number, block, answers, bits)
 
     sent = map_blocks(blocks, suffixes, PACKED, elsewhere)
     late = sent.groupBy("part").applyInArrow(sort_bucket, ANSWERS)

@@ -9,7 +9,7 @@ equal scores; repeated ids are scored row by row. With labels of one kind only,
 rows without a document, or with a null label, are left out. Columns besides the ids, text and toxic are not read.
 
 The model is fitted on about ``PER_LABEL`` labelled documents of each label, chosen by a hash of the id; what reaches
-the driver are the word buckets of these documents.
+the driver are the hashed words of these documents.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from pulsegrid.llm.common import crc_bucket, documents, labels
 from pulsegrid.llm.hashing import run_edges, segment_hashes
 
 PER_LABEL = 3000
-BUCKET_BITS = 18
+#: Bits of a word's hash; a group of texts has fewer than 2^(64 - WORD_BITS) sentences.
+WORD_BITS = 40
 LEAST_DOCS = 8
 #: Steps and rates of the lasso and of the second fit.
 STEPS = (120, 60)
@@ -33,7 +34,7 @@ RATES = (0.5, 0.1)
 #: A word keeps a weight only while it would explain this many documents that nothing else explains.
 LEAST_EXPLAINED = 2.0
 #: ... and only if so large a share of the documents that hold it is toxic.
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.8
 THRESHOLD = 0.7
 GROUP_BYTES = 2 << 20
 
@@ -43,21 +44,21 @@ _IS_END = np.isin(np.arange(256), [ord(c) for c in ".!?\n"])
 
 
 def sentence_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, sentence, word bucket), distinct and in order; sentences are numbered from 0 in each document."""
+    """(document, sentence, hashed word), distinct and in order; sentences are numbered from 0 in each document."""
     encoded = [(t or "").lower().encode("utf-8", "replace") for t in texts]
     data = np.frombuffer(b"\n".join(encoded) + b"\n", dtype=np.uint8)
     bounds = np.cumsum([0] + [len(e) + 1 for e in encoded])
     starts, ends = run_edges(_IS_LETTER[data])
-    buckets = segment_hashes(data, starts, ends) >> np.uint64(64 - BUCKET_BITS)
+    buckets = segment_hashes(data, starts, ends) >> np.uint64(64 - WORD_BITS)
     ended = np.cumsum(_IS_END[data])
     doc = np.searchsorted(bounds, starts, side="right") - 1
     sentence = ended[starts]
-    cells = np.unique(sentence.astype(np.uint64) << np.uint64(BUCKET_BITS) | buckets)
-    sentence = (cells >> np.uint64(BUCKET_BITS)).astype(np.int64)
+    cells = np.unique(sentence.astype(np.uint64) << np.uint64(WORD_BITS) | buckets)
+    sentence = (cells >> np.uint64(WORD_BITS)).astype(np.int64)
     # The separator after a document ends its last sentence.
     first = np.concatenate([[0], ended[bounds[1:] - 1]])
     doc = np.searchsorted(first, sentence, side="right") - 1
-    return doc, sentence - first[doc], (cells & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int32)
+    return doc, sentence - first[doc], (cells & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)
 
 
 def softplus(z: np.ndarray) -> np.ndarray:
@@ -66,16 +67,23 @@ def softplus(z: np.ndarray) -> np.ndarray:
 
 @dataclass
 class SentenceModel:
+    words: np.ndarray  # hashes of the words that have a weight, sorted
     weights: np.ndarray
     bias: float
 
+    def evidence(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.zeros(len(words))
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.weights[at], 0.0)
+
     def sentence_scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, sentence, score logit) of every sentence with a word."""
-        doc, sentence, bucket = sentence_words(texts)
+        doc, sentence, word = sentence_words(texts)
         if not len(doc):
             return doc, sentence, np.zeros(0)
         new = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(sentence) != 0)]))
-        return doc[new], sentence[new], np.add.reduceat(self.weights[bucket], new) + self.bias
+        return doc[new], sentence[new], np.add.reduceat(self.evidence(word), new) + self.bias
 
     def documents(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Noisy-or score of every document, its worst sentence (-1: none) and that sentence's score."""
@@ -107,59 +115,59 @@ def fit(docs: DataFrame, marks: DataFrame, eligible: Column, per_label: int = PE
     def features(batch):
         texts = batch["text"].to_pylist()
         cells = [sentence_words([t]) for t in texts]
-        return {"sentence": [s.astype(np.int32).tobytes() for _, s, _ in cells], "bucket": [b.tobytes() for _, _, b in cells],
+        return {"sentence": [s.astype(np.int32).tobytes() for _, s, _ in cells], "word": [w.tobytes() for _, _, w in cells],
                 "toxic": batch["toxic"], "weight": batch["weight"]}
 
     sample = training_rows(docs, marks, eligible, per_label)
     rows = map_batches(sample.select("text", F.col("toxic").cast("int").alias("toxic"), "weight"), features,
-                       "sentence binary, bucket binary, toxic int, weight double").collect()
-    rows.sort(key=lambda r: (r.toxic, r.bucket, r.sentence))
+                       "sentence binary, word binary, toxic int, weight double").collect()
+    rows.sort(key=lambda r: (r.toxic, r.word, r.sentence))
     toxic = np.array([r.toxic for r in rows])
     if not len(rows) or toxic.min() == toxic.max():
-        return SentenceModel(np.zeros(1 << BUCKET_BITS), -np.inf)
+        return SentenceModel(np.zeros(0, dtype=np.int64), np.zeros(0), -np.inf)
     weight = np.array([r.weight for r in rows])
-    return train([np.frombuffer(r.sentence, dtype=np.int32) for r in rows], [np.frombuffer(r.bucket, dtype=np.int32) for r in rows],
+    return train([np.frombuffer(r.sentence, dtype=np.int32) for r in rows], [np.frombuffer(r.word, dtype=np.int64) for r in rows],
                  toxic, weight / weight.sum())
 
 
-def train(sentences: list[np.ndarray], buckets: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray) -> SentenceModel:
+def train(sentences: list[np.ndarray], words: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray) -> SentenceModel:
     """Adagrad on the noisy-or likelihood: a lasso finds the words, and they are fitted again without it, from
     what each word's own documents say, so that words which go together do not share one word's weight.
 
     Words can only add evidence: with negative weights, clean words that happen to surround toxic ones in training
     would hide them elsewhere.
     """
-    doc = np.repeat(np.arange(len(buckets), dtype=np.int32), [len(b) for b in buckets])
-    bucket, sentence = np.concatenate(buckets), np.concatenate(sentences)
-    held = np.unique(doc.astype(np.int64) << BUCKET_BITS | bucket)
-    holder, held = held >> BUCKET_BITS, held & ((1 << BUCKET_BITS) - 1)
-    common = np.bincount(held, minlength=1 << BUCKET_BITS) >= LEAST_DOCS
+    doc = np.repeat(np.arange(len(words)), [len(x) for x in words])
+    names, name = np.unique(np.concatenate(words), return_inverse=True)
+    sentence = np.concatenate(sentences)
+    held = np.unique(doc << 32 | name)
+    holder, held = held >> 32, held & 0xFFFFFFFF
+    count, size = len(words), len(names)
     new = np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(sentence) != 0)])
     bag = np.cumsum(new) - 1
-    bag_doc, used = doc[new], np.flatnonzero(common[bucket])
-    names, column = np.unique(bucket[used], return_inverse=True)
-    row, bags = bag[used], int(new.sum())
+    bag_doc, bags = doc[new], int(new.sum())
+    used = np.flatnonzero((np.bincount(held, minlength=size) >= LEAST_DOCS)[name])
+    row, column = bag[used], name[used]
     unit = weight.min()
-    toxic_share = (np.bincount(held, weights=(weight * toxic)[holder], minlength=1 << BUCKET_BITS)[names] + unit / 2) / (
-        np.bincount(held, weights=weight[holder], minlength=1 << BUCKET_BITS)[names] + unit)
-    w, b, found = np.zeros(len(names)), -4.0, np.ones(len(names), dtype=bool)
-    for steps, rate, lasso in zip(STEPS, RATES, (LEAST_EXPLAINED / len(buckets), 0.0)):
-        gw, gb = np.full(len(names), 1e-8), 1e-8
+    toxic_share = (np.bincount(held, weights=(weight * toxic)[holder], minlength=size) + unit / 2) / (
+        np.bincount(held, weights=weight[holder], minlength=size) + unit)
+    w, b, found = np.zeros(size), -4.0, np.ones(size, dtype=bool)
+    for steps, rate, lasso in zip(STEPS, RATES, (LEAST_EXPLAINED / count, 0.0)):
+        gw, gb = np.full(size, 1e-8), 1e-8
         for _ in range(steps):
             z = np.bincount(row, weights=w[column], minlength=bags) + b
-            evidence = np.maximum(np.bincount(bag_doc, weights=softplus(z), minlength=len(buckets)), 1e-12)
+            evidence = np.maximum(np.bincount(bag_doc, weights=softplus(z), minlength=count), 1e-12)
             slope = np.where(toxic == 1, -1.0 / np.expm1(np.minimum(evidence, 50.0)), 1.0) * weight
             dz = slope[bag_doc] / (1 + np.exp(-z))
-            dw, db = np.bincount(column, weights=dz[row], minlength=len(names)) + lasso, float(dz.sum())
+            dw, db = np.bincount(column, weights=dz[row], minlength=size) + lasso, float(dz.sum())
             gw += dw * dw
             gb += db * db
             w = np.where(found, np.maximum(w - rate / np.sqrt(gw) * dw, 0.0), 0.0)
             b -= rate / np.sqrt(gb) * db
         found = (w > 0) & (toxic_share > LEAST_SHARE)
         w = np.where(found, np.maximum(np.log(toxic_share / (1 - toxic_share)) - b, 0.0), 0.0) if lasso else w
-    weights = np.zeros(1 << BUCKET_BITS)
-    weights[names] = w
-    return SentenceModel(weights, float(b))
+    kept = np.flatnonzero(w > 0)
+    return SentenceModel(names[kept], w[kept], float(b))
 
 
 def score(docs: DataFrame, model: SentenceModel) -> DataFrame:

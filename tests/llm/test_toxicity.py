@@ -31,9 +31,9 @@ def test_offending_sentences_are_located(spark):
     text = "A nice day. It is fine.\nYou pathetic loser! The end"
     odd = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
     (row,) = toxicity.offending_sentences(odd, model).collect()
-    assert (row.doc_id, row.sentence, row.text) == (1, 2, "You pathetic loser")
+    assert (row.doc_id, row.sentence, row.text) == (1, 3, "You pathetic loser")
     scored = {r.doc_id: r for r in toxicity.score(odd, model).collect()}
-    assert scored[1].worst_sentence == 2 and scored[2].score == scored[3].score == 0 and scored[2].worst_sentence == -1
+    assert scored[1].worst_sentence == 3 and scored[2].score == scored[3].score == 0 and scored[2].worst_sentence == -1
 
 
 def test_sentence_words_match_a_plain_split():
