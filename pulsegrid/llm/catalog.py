@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pulsegrid.llm import edit_embedding, language_id, line_dedup, mixing, ngram_join, packing, suffix_dedup, toxicity
+from pulsegrid.llm import chroma_audio, edit_embedding, language_id, line_dedup, mixing, ngram_join, packing, pii, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_pii": pii.query,
     "op2_suffix_dedup": suffix_dedup.query,
     "op3_edit_embedding": edit_embedding.query,
     "op4_packing": packing.query,
+    "op5_chroma_audio": chroma_audio.query,
     "op6_language_id": language_id.query,
     "op7_toxicity": toxicity.query,
     "op8_source_mixing": mixing.query,

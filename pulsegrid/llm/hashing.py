@@ -52,11 +52,18 @@ def run_edges(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of the bytes of each segment; equal bytes give equal hashes wherever they lie."""
+def _running_sums(data: np.ndarray) -> np.ndarray:
     _POLY.grow(len(data))
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(BYTE_VALUES[data] * _POLY.up[:len(data)], out=sums[1:])
+    np.take(BYTE_VALUES, data, out=sums[1:], mode="clip")
+    sums[1:] *= _POLY.up[:len(data)]
+    np.cumsum(sums[1:], out=sums[1:])
+    return sums
+
+
+def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each segment; equal bytes give equal hashes wherever they lie."""
+    sums = _running_sums(data)
     found = (sums[ends] - sums[starts]) * _POLY.down[starts]
     return mix64(found + (ends - starts).astype(np.uint64))
 
@@ -65,9 +72,7 @@ class Windows:
     """Hashes of windows of one buffer at chosen positions, from one running sum."""
 
     def __init__(self, data: np.ndarray):
-        _POLY.grow(len(data))
-        self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(BYTE_VALUES[data] * _POLY.up[:len(data)], out=self.sums[1:])
+        self.sums = _running_sums(data)
 
     def at(self, positions: np.ndarray, width: int) -> np.ndarray:
         found = self.sums[positions + width] - self.sums[positions]

@@ -24,7 +24,7 @@ from pulsegrid.llm.common import LAST_ID
 from pulsegrid.session import shared_folder
 
 #: Text in a block; more of it means fewer, larger packed rows and more memory in a task.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 BLOCKS = "block long, ids binary, lengths binary, data binary, n_bytes long"
 ANSWERS = "block long, kind int, payload binary"
 PACKED = "part int, block long, kind int, payload binary"

@@ -18,6 +18,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pulsegrid.llm.batches import map_batches
@@ -148,6 +149,17 @@ def predict(docs: DataFrame, model: Centroids) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), each, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
+def rejects(spark: SparkSession, model: Centroids):
+    """A function of a text column: whether the model rejects the text."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def rejected(texts: pd.Series) -> pd.Series:
+        return pd.Series([shared.value.predict(t)[2] for t in texts], dtype=bool)
+
+    return rejected
+
+
 def held_out() -> Column:
     return crc_bucket("doc_id", 4) == 2
 

@@ -53,10 +53,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], most_epochs: int)
     return shared.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: int = MOST_EPOCHS, seed: int = 8) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, key) of every row of ``docs``."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: int = MOST_EPOCHS, seed: int = 8,
+        carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) of every row of ``docs``, and the columns to carry."""
     sized = durable(docs.select(
-        "doc_id", "source",
+        "doc_id", "source", *carry,
         F.regexp_count(whole_text(), F.lit(WORD)).cast("long").alias("size"),
         hash_key(F.col("doc_id"), seed).alias("key"),
     ))
@@ -82,7 +83,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: int =
             whole * F.col("size")
             + F.greatest(F.lit(0), F.least(F.col("size"), budget - whole * F.col("source_size") - F.col("before")))
         ).cast("long").alias("taken"),
-        "key",
+        *carry,
     )
 
 

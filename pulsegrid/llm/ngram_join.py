@@ -266,8 +266,11 @@ def join_ngrams(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_
     open_rare = open_signatures(rare, labels)
     apart = prefixes.join(open_signatures(single, labels).select("doc").distinct(), "doc", "left_semi")
     members = durable(open_rare.unionByName(open_signatures(pair_signatures(apart), labels)))
-    more = verified(cross_pairs(members), sets, percent).unionByName(block_links(members, sets, percent))
-    nodes = components(links.unionByName(durable(more)))
+    more = verified(cross_pairs(members), sets, percent)
+    if not members.where(F.col("members") > HOT).isEmpty():
+        more = more.unionByName(block_links(members, sets, percent))
+    more = durable(more)
+    nodes = labels if more.isEmpty() else components(links.unionByName(more))
     named = classes.join(nodes.select(F.col("node").alias("key"), "component"), "key", "left").select(
         "key", "first", F.coalesce("component", "key").alias("component"))
     # A component's id is the smallest document of any of its sets.

@@ -80,9 +80,12 @@ def candidate_suffixes(block: Block, windows: Windows, answers: list[tuple[int,
     """Starts of whole windows that hold a cover position whose class occurs twice."""
     positions, classes = cover_suffixes(block, windows)
     hit = positions[held_twice(classes, classes, answers, bits)]
-    size = len(block.data) + 1
-    open_at = np.bincount(np.maximum(hit - PERIOD + 1, 0), minlength=size) - np.bincount(hit + 1, minlength=size)
-    return np.flatnonzero((np.cumsum(open_at[:-1]) > 0) & _marked(block, None, DEPTH))
+    # Windows from PERIOD - 1 before a hit up to it; hits are distinct, so each adds and takes at its own place.
+    depth = np.zeros(len(block.data) + PERIOD, dtype=np.int32)
+    depth[hit] += 1
+    depth[hit + PERIOD] -= 1
+    held = np.cumsum(depth, dtype=np.int32)[PERIOD - 1:PERIOD - 1 + len(block.data)] > 0
+    return np.flatnonzero(held & _marked(block, None, DEPTH))
 
 
 def earlier_in_group(classes: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -217,11 +220,11 @@ def sort_bucket(table: pa.Table) -> pa.Table:
 def without_repeats(block: Block, stretches: list[bytes]) -> dict[str, list]:
     """Per document: bytes, removed bytes, maximal removed runs and what is kept."""
     size = len(block.data) + 1
-    depth = np.zeros(size, dtype=np.int64)
+    depth = np.zeros(size, dtype=np.int32)
     for starts, counts in map(unpack_stretches, stretches):
         np.add.at(depth, starts, 1)
         np.subtract.at(depth, starts + counts + DEPTH - 1, 1)
-    gone = np.cumsum(depth[:-1]) > 0
+    gone = np.cumsum(depth[:-1], dtype=np.int32) > 0
     out: dict[str, list] = {n: [] for n in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept")}
     for doc, start, end in zip(block.ids.tolist(), block.starts.tolist(), block.ends.tolist()):
         own = gone[start:end]
