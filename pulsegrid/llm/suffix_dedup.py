@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegrid.llm.batches import arrow_schema
 from pulsegrid.llm.common import LAST_ID, documents
-from pulsegrid.llm.hashing import Windows
+from pulsegrid.llm.hashing import Windows, mix64
 from pulsegrid.llm.key_blocks import (
     ANSWERS,
     PACKED,
@@ -52,6 +52,7 @@ ANCHOR = DEPTH - PERIOD + 1
 SEED_BYTES = 8
 BYTES_PER_PART = 8 << 20
 SEGMENTS, SETTLED = 0, 1
+_OFFSET_BITS = np.uint64((1 << 16) - 1)
 
 
 def _marked(block: Block, pattern: np.ndarray | None, reach: int) -> np.ndarray:
@@ -112,9 +113,7 @@ def window_seeds(windows: Windows, starts: np.ndarray) -> tuple[np.ndarray, np.n
     spots = np.arange(int(sizes.sum())) - np.repeat(base - lo, sizes)
     classes = windows.at(spots, SEED_BYTES)
     # The position rides in the low bits, so one running minimum gives both.
-    low = np.uint64((1 << 16) - 1)
-    order = np.repeat(lo, sizes)
-    tagged = (classes & ~low) | ((spots - order).astype(np.uint64) & low)
+    tagged = (classes & ~_OFFSET_BITS) | ((spots - np.repeat(lo, sizes)).astype(np.uint64) & _OFFSET_BITS)
     return _running_minimum(tagged, steps, classes, spots, starts, lo, base)
 
 
@@ -128,7 +127,7 @@ def _running_minimum(tagged, steps, classes, spots, starts, lo, base):
     at = base[stretch] + starts - lo[stretch]
     found = np.minimum(least[at], least[at + steps - width])
     # Back from the tag to the cell: the tag's offset is taken modulo 2^16, and the window is far shorter.
-    inside = (found - (starts - lo[stretch]).astype(np.uint64)) & np.uint64((1 << 16) - 1)
+    inside = (found - (starts - lo[stretch]).astype(np.uint64)) & _OFFSET_BITS
     cell = at + inside.astype(np.int64)
     return classes[cell], spots[cell]
 
@@ -149,8 +148,10 @@ def send_suffixes(number: int, block: Block, answers: list[tuple[int, bytes]], b
         new = np.concatenate([[True], (np.diff(starts) > 1) | (np.diff(spot) != 0)])
         first = np.flatnonzero(new)
         count = np.diff(np.concatenate([first, [len(starts)]]))
-        order = np.argsort(seed[first], kind="stable")
-        for part, lo, hi in by_part(seed[first][order], bits):
+        # Smallest classes crowd at the low end of the range, so they are mixed once more before they are dealt.
+        route = mix64(seed[first] & ~_OFFSET_BITS)
+        order = np.argsort(route, kind="stable")
+        for part, lo, hi in by_part(route[order], bits):
             own = order[lo:hi]
             own = own[np.argsort(first[own])]
             rows.append((part, SEGMENTS, pack_segments(block, starts[first[own]], count[own], doc[first[own]])))
