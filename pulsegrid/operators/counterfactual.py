@@ -233,13 +233,19 @@ def stacked_models(rows: DataFrame, spec: DataFrame, min_events: int = 30) -> tu
         F.count_distinct(F.when(F.col("is_event"), F.col("cluster"))).alias("n_event_clusters"),
     )
     counts = counts.where(F.col("n_event_clusters") >= min_events)
-    fitted = R.cluster_fit(rows, spec).join(counts, "model_name")
+    # A rank-deficient design has no coefficients of its own to report.
+    fitted = R.cluster_fit(rows, spec).where(F.col("rank_design") == F.col("n_params")).join(counts, "model_name")
     coefs = R.coefficients(fitted)
     events = R.coefficients(fitted.withColumn("df", F.greatest(F.col("n_event_clusters") - 1, F.lit(1)).cast("double")))
     is_event_term = F.col("term").startswith("event_")
     return coefs.where(~is_event_term).unionByName(events.where(is_event_term)), R.model_summary(fitted).join(counts, "model_name")
 
 
+def enough_clusters(fitted: DataFrame, least: int = 30) -> DataFrame:
+    """Fits of event models with at least so many event dates and a design of full rank."""
+    return fitted.where((F.col("n_clusters") >= least) & (F.col("rank_design") == F.col("n_params")))
+
+
 def energy_ranks(windows: DataFrame, q: str = "q_target") -> DataFrame:
     """Event dates by falling shock energy; equal energies keep date order.
 
@@ -333,6 +339,25 @@ def leverage_by_date(windows: DataFrame, model: R.Model) -> DataFrame:
     ).agg(F.sum("f.leverage").alias("leverage"))
 
 
+def left_out_energies(windows: DataFrame, models: list[R.Model], top: int = 10) -> DataFrame:
+    """Per model and k: the dates left out, the largest energy among them and the largest that stays."""
+    parts = []
+    for q in sorted({m.terms[0] for m in models}):
+        first = energy_ranks(windows, q).where(F.col("energy_rank") <= top + 1)
+        ranked = first.agg(F.sort_array(F.collect_list(F.struct("energy_rank", "trade_date", "energy"))).alias("ranked"))
+        k = F.col("k_removed")
+        dates = F.transform(F.slice("ranked", 1, k), lambda r: r["trade_date"].cast("string"))
+        names = F.explode(F.array(*[F.lit(m.name) for m in models if m.terms[0] == q]))
+        parts.append(ranked.withColumn("k_removed", F.explode(F.sequence(F.lit(0), F.lit(top)))).select(
+            names.alias("base_name"), "k_removed", F.array_join(dates, ";").alias("removed_dates"),
+            F.when(k > 0, F.get("ranked", F.lit(0))["energy"]).alias("largest_removed_energy"),
+            F.get("ranked", k)["energy"].alias("largest_retained_energy")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def leave_top_k(windows: DataFrame, models: list[R.Model], top: int = 10, min_events: int = 30) -> tuple[DataFrame, DataFrame]:
     """(rows, spec) of every event model without its k largest energies, k = 0 .. top.
 

@@ -118,7 +118,9 @@ def _robust(rows: DataFrame, found: dict[str, dict], fitted: DataFrame) -> DataF
 
 def fractional_logit(panel: DataFrame, models: list[R.Model]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(coefficients with average partial effects, model summary, diagnostics)."""
-    rows = durable(R.design(panel, models).where("y between 0 and 1"))
+    rows = durable(R.design(panel, models))
+    if outside := rows.where("y < 0 or y > 1").select("model_name").head():
+        raise ValueError(f"outcome of {outside.model_name} has values outside [0, 1]")
     spec = {r["model_name"]: (r["outcome"], list(r["terms"])) for r in R.battery(panel, models).collect()}
     present = {r["model_name"] for r in rows.select("model_name").distinct().collect()}
     spec = {m: v for m, v in spec.items() if m in present}
@@ -134,11 +136,13 @@ def fractional_logit(panel: DataFrame, models: list[R.Model]) -> tuple[DataFrame
     reset_terms = {m: [*t, "eta2", "eta3"] for m, t in terms.items()}
     reset = newton(wider, {m: len(t) for m, t in reset_terms.items()})
     reset_fit = _robust(wider, reset, _fitted_frame(wider, reset, reset_terms, outcome))
-    reset_p = wald_test(reset_fit, [["eta2"], ["eta3"]]).select("model_name", F.col("p_value").alias("reset_p"))
+    settled = [m for m, f in reset.items() if f["converged"]]
+    reset_p = wald_test(reset_fit.where(F.col("model_name").isin(settled)), [["eta2"], ["eta3"]]).select("model_name", F.col("p_value").alias("reset_p"))
     asym = asymmetry_test(fitted).select("model_name", F.col("p_value").alias("wald_asym_p"))
 
     effects = partial_effects(at, fitted)
-    coefs = R.coefficients(fitted).withColumnsRenamed({"se": "se_cluster", "t_stat": "z_stat", "r2": "pseudo_r2"}).join(
+    # The fit's adj_r2 slot carries the log likelihood, which belongs to the summary.
+    coefs = R.coefficients(fitted).drop("adj_r2").withColumnsRenamed({"se": "se_cluster", "t_stat": "z_stat", "r2": "pseudo_r2"}).join(
         effects, ["model_name", "term"], "left"
     )
     steps = rows.sparkSession.createDataFrame(

@@ -33,7 +33,7 @@ OUTCOMES = ("d_11", "d_12", "d_22")
 SCENARIOS = {"full": (), "exclude_2020": (2020,), "exclude_2020_2021": (2020, 2021)}
 RIDGE_SCALE = 1e-6
 CALIPER_QUANTILE = 0.95
-CALIPER_REFERENCES = 400
+FINAL_DRAWS = 999
 SUPPORT = (0.01, 0.99)
 YEAR_REACH = 2
 NEIGHBOURS = 10
@@ -178,16 +178,9 @@ def _reached(pairs: DataFrame, unit: str) -> DataFrame:
 
 
 def distance_caliper(rows: DataFrame) -> DataFrame:
-    """95 % quantile of the tenth-neighbour distance among reference controls."""
+    """95 % quantile of the tenth-neighbour distance among the controls, every one of them."""
     controls = rows.where("not is_event")
-    order = Window.partitionBy(*KEYS).orderBy("source_id")
-    whole = Window.partitionBy(*KEYS)
-    numbered = controls.withColumns({"pos": F.row_number().over(order), "n": F.count(F.lit(1)).over(whole)})
-    # Above the reference number, evenly spaced positions stand for the controls.
-    step = (F.col("n") - 1) / F.lit(CALIPER_REFERENCES - 1.0)
-    nearest = F.round((F.col("pos") - 1) / step)
-    is_reference = (F.col("n") <= CALIPER_REFERENCES) | (F.round(nearest * step) + 1 == F.col("pos"))
-    refs = numbered.where(is_reference).select(*KEYS, "source_id", "clock_late", "weekday_number", "year_number", "coords")
+    refs = controls.select(*KEYS, "source_id", "clock_late", "weekday_number", "year_number", "coords")
     pairs = _candidate_pairs(refs, controls).where(F.col("control_id") != F.col("source_id"))
     tenth = _reached(pairs, "source_id").where(F.col("upto") >= NEIGHBOURS).groupBy(*KEYS, "source_id").agg(F.min("distance").alias("kth"))
     return grouped_quantiles(tenth, KEYS, "kth", {"caliper": CALIPER_QUANTILE})
@@ -340,7 +333,11 @@ def scenario_summary(point: dict[str, DataFrame], boot: DataFrame, placebos: Dat
 
 
 def decision_table(summary: DataFrame, mode: str = "final", min_retention: float = 0.80, min_usable: float = 0.95) -> DataFrame:
-    """Six binding gates and the joint decision."""
+    """Six binding gates and the joint decision. Final mode needs the study's number of draws in every scenario."""
+    if mode == "final":
+        fewest = summary.where(F.col("metric") == "bootstrap_draws_requested").agg(F.min("value")).first()[0]
+        if fewest is None or fewest < FINAL_DRAWS:
+            raise ValueError(f"final mode needs {FINAL_DRAWS} draws per scenario, not {fewest}")
     gates = F.explode(F.array(*[
         F.struct(F.lit(s + label).alias("criterion"), F.lit(s).alias("scenario"), F.lit(metric).alias("metric"), F.lit(text).alias("threshold"))
         for label, metric, text in (

@@ -86,8 +86,8 @@ def abnormal_outcomes(t: I.Tables) -> DataFrame:
 
 
 def event_coefficients(rows: DataFrame, models, draws: int = DRAWS) -> DataFrame:
-    """Coefficients with wild bootstrap p values on the energy and its interaction."""
-    fitted = durable(regression.cluster_ols(rows, models))
+    """Coefficients with wild bootstrap p values on the energy and its interaction, of models with enough events."""
+    fitted = durable(cf.enough_clusters(regression.cluster_ols(rows, models)))
     tests = resampling.term_columns(fitted.select("model_name", "terms"))
     wild = resampling.wild_cluster_p(regression.design(rows, models), tests, draws, SEED)
     place = fitted.select("model_name", F.posexplode("terms").alias("column", "term"))
@@ -102,13 +102,13 @@ def counterfactual_models(t: I.Tables) -> DataFrame:
 
 @query()
 def equivalence_tests(t: I.Tables) -> DataFrame:
-    fitted = regression.cluster_ols(abnormal_panel(t), batteries.COUNTERFACTUAL)
+    fitted = cf.enough_clusters(regression.cluster_ols(abnormal_panel(t), batteries.COUNTERFACTUAL))
     return cf.equivalence(regression.coefficients(fitted))
 
 
 @query()
 def conditional_effects(t: I.Tables) -> DataFrame:
-    fitted = regression.cluster_ols(abnormal_panel(t), batteries.COUNTERFACTUAL)
+    fitted = cf.enough_clusters(regression.cluster_ols(abnormal_panel(t), batteries.COUNTERFACTUAL))
     effects = regression.linear_effects(fitted, cf.conditional_effects(batteries.COUNTERFACTUAL))
     return cf.with_relative_change(effects)
 
@@ -193,11 +193,24 @@ def event_leverage(t: I.Tables) -> DataFrame:
     return cf.leverage_by_date(abnormal_panel(t), batteries.COUNTERFACTUAL[0])
 
 
-@query("model_name", "term", "beta", "se", "t_stat", "p_value", "n_obs", "n_clusters")
+#: Numbers of left-out dates that get a wild bootstrap p value.
+LEAVE_TOP_WILD = (0, 1, 2, 3, 5)
+
+
+@query("model_name", "k_removed", "term", "beta", "se", "t_stat", "p_value", "n_obs", "n_clusters", "p_wild_cluster", "removed_dates",
+       "largest_removed_energy", "largest_retained_energy")
 def leave_top_k(t: I.Tables) -> DataFrame:
     rows, spec = cf.leave_top_k(abnormal_panel(t), batteries.COUNTERFACTUAL)
-    fitted = regression.cluster_fit(durable(rows), spec)
-    return regression.coefficients(fitted).where(F.col("term").rlike("^q_"))
+    rows = durable(rows)
+    fitted = durable(cf.enough_clusters(regression.cluster_fit(rows, spec)))
+    tests = {m: js for m, js in resampling.term_columns(spec).items() if int(m.split("#")[1]) in LEAVE_TOP_WILD}
+    wild = resampling.wild_cluster_p(rows, tests, DRAWS, SEED)
+    place = fitted.select("model_name", F.posexplode("terms").alias("column", "term"))
+    named = wild.join(place, ["model_name", "column"]).select("model_name", "term", "p_wild_cluster")
+    found = regression.coefficients(fitted).where(F.col("term").rlike("^q_")).join(named, ["model_name", "term"], "left").withColumns(
+        {"base_name": F.split_part("model_name", F.lit("#"), F.lit(1)), "k_removed": F.split_part("model_name", F.lit("#"), F.lit(2)).cast("int")})
+    return found.join(cf.left_out_energies(abnormal_panel(t), batteries.COUNTERFACTUAL), ["base_name", "k_removed"]).drop("model_name").withColumnRenamed(
+        "base_name", "model_name")
 
 
 # ---- rotation -----------------------------------------------------------------------------------
@@ -288,7 +301,6 @@ def rotation_inference(t: I.Tables) -> DataFrame:
 
 # Sessions run from 1995 to 2001, so the scenarios leave out two of those years.
 SESSION_SCENARIOS = {"full": (), "exclude_2020": (1999,), "exclude_2020_2021": (1999, 2000)}
-SESSION_MIN_EVENTS = 5
 
 
 @stage
@@ -327,7 +339,7 @@ def matching_balance(t: I.Tables) -> DataFrame:
 @stage
 def resolution_draws(t: I.Tables) -> DataFrame:
     samples, point = resolution_point(t)
-    return resolution.bootstrap(samples, point["spectrum"], RESOLUTION_DRAWS, SEED, SESSION_MIN_EVENTS)
+    return resolution.bootstrap(samples, point["spectrum"], RESOLUTION_DRAWS, SEED)
 
 
 @query()
@@ -350,7 +362,8 @@ def resolution_summary(t: I.Tables) -> DataFrame:
 
 @query()
 def decision_table(t: I.Tables) -> DataFrame:
-    return resolution.decision_table(resolution_tables(t))
+    mode = "final" if RESOLUTION_DRAWS >= resolution.FINAL_DRAWS else "smoke"
+    return resolution.decision_table(resolution_tables(t), mode)
 
 
 @query("trade_date", "root_code", "file_name_clean", "n_bars", "share_low_volume")

@@ -144,11 +144,11 @@ def session_bars(t: Tables) -> DataFrame:
 
 
 def session_clocks(t: Tables) -> DataFrame:
-    """One row per session: its release is on day 5, sessions with number mod 6 = 3 are events."""
+    """One row per session: its release is on day 5, every third session is an event."""
     start = F.date_add(F.lit(SESSION_ORIGIN).cast("date"), F.col("session") * SESSION_DAYS)
     sessions = t["lineitem"].select(session_of(F.to_date("l_shipdate")).alias("session")).distinct()
     release = F.date_add(start, 5).cast("timestamp_ntz")
-    event = F.col("session") % 6 == 3
+    event = F.col("session") % 3 == 0
     name = F.date_format(start, "yyyyMMdd")
     return sessions.select(
         "session",

@@ -441,8 +441,8 @@ twin("grid_returns_variation", "trade_date:s root_code:s file_name_clean:s n_pre
      "pre_volume:f pre_coverage:f post_coverage:f RV_pre:f BV_pre:f JV_pre:f jump_share_pre:f RV_post:f BV_post:f "
      "JV_post:f jump_share_post:f", "(SELECT * FROM sm WHERE n_grid > 0)")
 cte("sc", """
-SELECT *, session % 6 = 3 AS is_event,
-  CASE WHEN session % 6 = 3 THEN 'EVENT_' ELSE 'CONTROL_' END || strftime(trade_date, '%Y%m%d') AS event_id,
+SELECT *, session % 3 = 0 AS is_event,
+  CASE WHEN session % 3 = 0 THEN 'EVENT_' ELSE 'CONTROL_' END || strftime(trade_date, '%Y%m%d') AS event_id,
   pre_coverage >= 0.75 AND n_pre_returns >= 3 AND BV_pre IS NOT NULL AS pre_eligible,
   post_coverage >= 0.75 AND n_post_returns >= 3 AND BV_post IS NOT NULL AS post_eligible FROM sm""")
 cte("sw", """
