@@ -163,11 +163,11 @@ def ordered_prefixes(sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def pair_signatures(prefixes: DataFrame) -> DataFrame:
-    """(doc, own, sig) of every combination of two frequent tokens of a prefix."""
-    numbered = prefixes.where(F.size("frequent") > 1).select("doc", "own", "frequent", F.posexplode("frequent").alias("i", "first"))
-    return numbered.select("doc", "own", "first", F.explode(F.slice("frequent", F.col("i") + 2, F.size("frequent"))).alias("second")).select(
-        "doc", "own", F.xxhash64(F.lit(2), F.least("first", "second"), F.greatest("first", "second")).alias("sig"))
+def pair_signatures(lists: DataFrame) -> DataFrame:
+    """(list, sig, low, high, members) of every combination of two tokens of each distinct list of frequent tokens."""
+    numbered = lists.where(F.size("frequent") > 1).select("*", F.posexplode("frequent").alias("i", "first"))
+    return numbered.select("list", "low", "high", "members", "first", F.explode(F.slice("frequent", F.col("i") + 2, F.size("frequent"))).alias("second")).select(
+        "list", "low", "high", "members", F.xxhash64(F.lit(2), F.least("first", "second"), F.greatest("first", "second")).alias("sig"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -200,29 +200,37 @@ def central_pairs(signed: DataFrame) -> DataFrame:
         F.least("doc", "least.doc").alias("a"), F.greatest("doc", "least.doc").alias("b")).distinct()
 
 
-def open_signatures(signed: DataFrame, labels: DataFrame) -> DataFrame:
-    """(sig, doc, component, members) of the signatures whose members are in several components."""
-    placed = signed.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").select(
-        "sig", "doc", F.coalesce("component", "doc").alias("component"))
-    split = placed.groupBy("sig").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).where(F.col("low") < F.col("high"))
-    return placed.join(split.select("sig", "members"), "sig")
+def placed(signed: DataFrame, labels: DataFrame) -> DataFrame:
+    """With the component of each doc so far."""
+    return signed.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+
+
+def open_signatures(signed: DataFrame) -> DataFrame:
+    """(sig, members) of the signatures whose members are in several components."""
+    return signed.groupBy("sig").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("members").alias("members")).where(
+        F.col("low") < F.col("high")).select("sig", "members")
 
 
 def cross_pairs(members: DataFrame) -> DataFrame:
-    """(a, b) in different components within signatures of few members."""
-    few = members.where(F.col("members") <= HOT).select("sig", "doc", "component")
-    other = few.select("sig", F.col("doc").alias("b"), F.col("component").alias("c"))
-    return few.join(other, "sig").where((F.col("doc") < F.col("b")) & (F.col("component") != F.col("c"))).select(F.col("doc").alias("a"), "b").distinct()
-
-
-def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within hot signatures: those that overlap form a cluster, its members are dealt to blocks, and
-    every two blocks meet in a task of their own, as two matrices of token counts, so no pair is ever a row."""
-    hot = members.where(F.col("members") > HOT).select("sig", "doc", "component")
-    heads = hot.groupBy("sig").agg(F.min("doc").alias("head"))
-    clusters = components(hot.join(heads, "sig").select(F.col("head").alias("a"), F.col("doc").alias("b")))
-    dealt = hot.select("doc", "component").distinct().join(clusters.select(F.col("node").alias("doc"), F.col("component").alias("cluster")), "doc")
+    """(a, b) in different components within signatures of few members. Signatures with the same members, as those
+    of tokens that go together, count once."""
+    groups = members.groupBy("sig").agg(F.sort_array(F.collect_set(F.struct("doc", "component"))).alias("group")).select("group").distinct()
+    first = groups.select("group", F.posexplode("group").alias("i", "x"))
+    return first.select("x", F.explode(F.filter(
+        F.slice("group", F.col("i") + 2, F.size("group")), lambda y: y["component"] != F.col("x.component"))).alias("y")).select(
+        F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+
+
+def block_links(hot: DataFrame, listed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within hot signatures: the token lists of those that overlap form a cluster, their documents are
+    dealt to blocks, and every two blocks meet in a task of their own, as two matrices of token counts, so no pair is
+    ever a row. ``hot`` has (sig, list), ``listed`` (list, doc, component)."""
+    heads = hot.groupBy("sig").agg(F.min("list").alias("head"))
+    met = hot.join(heads, "sig").select(F.col("head").alias("a"), F.col("list").alias("b"))
+    clusters = components(met)
+    alone = hot.select("list").distinct().join(clusters, F.col("list") == F.col("node"), "left").select(
+        "list", F.coalesce("component", "list").alias("cluster"))
+    dealt = listed.join(alone, "list").select("doc", "component", "cluster").distinct()
     sizes = dealt.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("cells"))
     dealt = dealt.join(sizes, "cluster").withColumn("cell", F.pmod(F.xxhash64("doc"), F.col("cells")))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select(
@@ -263,12 +271,22 @@ def join_ngrams(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_
     single = prefixes.select("doc", "own", F.explode("frequent").alias("sig"))
     links = durable(verified(central_pairs(rare.unionByName(single)), sets, percent))
     labels = components(links)
-    open_rare = open_signatures(rare, labels)
-    apart = prefixes.join(open_signatures(single, labels).select("doc").distinct(), "doc", "left_semi")
-    members = durable(open_rare.unionByName(open_signatures(pair_signatures(apart), labels)))
-    more = verified(cross_pairs(members), sets, percent)
-    if not members.where(F.col("members") > HOT).isEmpty():
-        more = more.unionByName(block_links(members, sets, percent))
+    rare = durable(placed(rare.select("sig", "doc"), labels))
+    per_doc = [F.col("component").alias("low"), F.col("component").alias("high"), F.lit(1).alias("members")]
+    open_rare = rare.join(open_signatures(rare.select("sig", *per_doc)), "sig").select("sig", "doc", "component")
+    frequent = placed(prefixes.where(F.size("frequent") > 1).select("doc", "frequent"), labels)
+    single = frequent.select("component", "doc", F.explode("frequent").alias("sig"))
+    apart = single.join(open_signatures(single.select("sig", *per_doc)), "sig", "left_semi").select("doc").distinct()
+    # Documents with equal lists of frequent tokens have the same combinations: these are formed once per list.
+    listed = durable(frequent.join(apart, "doc", "left_semi").select(F.xxhash64("frequent").alias("list"), "frequent", "doc", "component"))
+    lists = listed.groupBy("list", "frequent").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
+    combined = pair_signatures(lists)
+    sized = durable(combined.select("sig", "list").join(open_signatures(combined), "sig"))
+    few = sized.where(F.col("members") <= HOT).join(listed.select("list", "doc", "component"), "list").select("sig", "doc", "component")
+    hot = durable(sized.where(F.col("members") > HOT).select("sig", "list"))
+    more = verified(cross_pairs(open_rare.unionByName(few)), sets, percent)
+    if not hot.isEmpty():
+        more = more.unionByName(block_links(hot, listed.select("list", "doc", "component"), sets, percent))
     more = durable(more)
     nodes = labels if more.isEmpty() else components(links.unionByName(more))
     named = classes.join(nodes.select(F.col("node").alias("key"), "component"), "key", "left").select(
