@@ -16,16 +16,18 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(name, _ARROW[kind]) for name, kind in (column.split() for column in ddl.split(", "))])
 
 
-def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], dict[str, list] | None], schema: str) -> DataFrame:
-    """Apply ``each`` to every Arrow batch; it returns columns in the order of ``schema``, or None for no rows."""
+def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], dict[str, list] | None], schema: str, rows: int | None = None) -> DataFrame:
+    """Apply ``each`` to every Arrow batch, or to slices of ``rows`` rows; it returns columns in the order of
+    ``schema``, or None for no rows."""
 
     fields = arrow_schema(schema)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = each(batch) if batch.num_rows else None
-            if columns is not None:
-                yield pa.RecordBatch.from_pydict(columns, schema=fields)
+            for at in range(0, batch.num_rows, rows or max(1, batch.num_rows)):
+                columns = each(batch.slice(at, rows))
+                if columns is not None:
+                    yield pa.RecordBatch.from_pydict(columns, schema=fields)
 
     return df.mapInArrow(over, schema)
 
