@@ -112,14 +112,14 @@ def _block_signs(seed: int, draw: int, n: int, block: int) -> np.ndarray:
 
 
 def history_tests(
-    residuals: DataFrame, max_lag: int = 3, draws: int = 999, block: int = 5, seed: int = 1, min_length: int = 30, parts: int = 4
+    residuals: DataFrame, max_lag: int = 3, draws: int = 999, block: int = 5, seed: int = 1, min_length: int = 30, per_task: int = 32
 ) -> DataFrame:
     """Joint tests that residual lags, or lags of residual, shock and state, predict the residual.
 
     A task holds one series (one row per event date), one lag order and one share of the draws.
     """
     keys = ["outcome", "model_name", "root_code"]
-    size = -(-draws // parts)
+    size, parts = per_task, -(-draws // per_task)
     spread = residuals.select(*keys, "event_date", "residual_cf", "shock_target_10bp", "state_pre_rv_z").withColumns(
         {
             "lag_order": F.explode(F.sequence(F.lit(1), F.lit(max_lag))),

@@ -13,15 +13,15 @@ from pulsegrid.operators.regression import no_nan
 
 
 def wild_cluster_p(
-    rows: DataFrame, tests: dict[str, list[int]], draws: int = 999, seed: int = 1, blocks: int = 8
+    rows: DataFrame, tests: dict[str, list[int]], draws: int = 999, seed: int = 1, per_task: int = 16
 ) -> DataFrame:
     """Null-imposed wild cluster bootstrap p per (model_name, column).
 
-    Signs are hashed per (draw, cluster) next to the data. A task handles one model and one block of
-    draws; it holds that model's rows, one or two per date. Only the tested coefficient is re-estimated:
+    Signs are hashed per (draw, cluster) next to the data. A task handles one model and a block of
+    ``per_task`` draws, so that tasks grow with the draws; it holds that model's rows, one or two per date. Only the tested coefficient is re-estimated:
     its variance needs one number per cluster and draw.
     """
-    size = -(-draws // blocks)
+    size, blocks = per_task, -(-draws // per_task)
     models = list(tests)
     block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     low, high = F.col("block") * size + 1, F.least((F.col("block") + 1) * size, F.lit(draws))

@@ -144,7 +144,7 @@ def test_nearest_controls_brute_force(spark):
 def test_wild_p_ignores_partitioning(panel):
     m = R.Model("m", "y", TERMS)
     a = resampling.wild_cluster_p(R.design(panel, [m]), {"m": [1, 3]}, 49, 5).orderBy("column").collect()
-    b = resampling.wild_cluster_p(R.design(panel.repartition(7), [m]), {"m": [1, 3]}, 49, 5, blocks=3).orderBy("column").collect()
+    b = resampling.wild_cluster_p(R.design(panel.repartition(7), [m]), {"m": [1, 3]}, 49, 5, per_task=17).orderBy("column").collect()
     assert [r["p_wild_cluster"] for r in a] == [r["p_wild_cluster"] for r in b] and all(0 < r["p_wild_cluster"] <= 1 for r in a)
 
 
