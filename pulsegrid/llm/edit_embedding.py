@@ -25,7 +25,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegrid.llm.batches import arrow_schema, map_batches
 from pulsegrid.llm.common import documents
+from pulsegrid.llm.components import components
 from pulsegrid.llm.hashing import mix64
+from pulsegrid.session import durable
 
 #: Sampled steps per 2^level characters of a text of this level.
 SAMPLES = 64
@@ -33,8 +35,11 @@ SAMPLES = 64
 STRETCH = 3
 #: Two unrelated texts agree in about so many symbols: by equal letters and by equal four-bit hashes.
 CHANCE = 0.125
-BAND_SYMBOLS = 12
-BANDS = 12
+#: Most symbols of a band, and bands for each extent of steps; extents grow by a quarter, a text has bands for its last two.
+BAND_SYMBOLS = 8
+BANDS = 32
+#: Members of a band that meet in one task are at most about twice as many.
+BAND_BLOCK = 256
 ROWS_PER_BLOCK = 4000
 MOST_BINS = 1 << 16
 GROUP_CHARS = 12 << 20
@@ -223,40 +228,95 @@ def with_next(docs: DataFrame) -> DataFrame:
 # ---- candidates by bands ----------------------------------------------------------------------------
 
 
+@cache
+def _extents() -> list[int]:
+    out = [1]
+    while out[-1] < 4 * STRETCH * SAMPLES:
+        out.append(out[-1] + max(1, out[-1] // 4))
+    return out
+
+
+@cache
+def _spots(extent: int) -> np.ndarray:
+    """(band, spot): distinct spots of each band among the first ``extent`` symbols, in order."""
+    width = min(BAND_SYMBOLS, max(1, extent // 3))
+    order = _step_values(extent * BANDS * 1024, BANDS * extent, 3).reshape(BANDS, extent).argsort(axis=1)
+    return np.sort(order[:, :width], axis=1)
+
+
 def bands(fingerprint: str) -> list[str]:
-    """Keys of bands of bit-sampled symbols at the text's level and the one above, so that neighbours in length meet."""
+    """Keys of bands of sampled symbols at the text's level and the one above, so that neighbours in length meet.
+
+    Spots lie anywhere in an extent; the last two extents that fit reach over four fifths of a text, and texts of which
+    one is a fifth shorter share an extent.
+    """
     own, keys = int(fingerprint[:2], 16), []
     for level in (own, own + 1):
         values = _symbols(fingerprint, level)
-        if len(values) < BAND_SYMBOLS:
-            continue
-        for band in range(BANDS):
-            # Bands lie in the first 2^level steps or so, which a text of this level always reaches.
-            spots = (_step_values(BAND_SYMBOLS * band, BAND_SYMBOLS, 3) % np.uint64(SAMPLES)).astype(np.int64)
-            if spots.max() < len(values):
-                keys.append(f"{level}:{band}:{values[np.sort(spots)].tobytes().decode()}")
+        for extent in [e for e in _extents() if e <= len(values)][-2:]:
+            found = values[_spots(extent)].tobytes().decode()
+            width = len(found) // BANDS
+            keys += [f"{level}:{extent}:{band}:{found[band * width:(band + 1) * width]}" for band in range(BANDS)]
     return keys
 
 
 def near_pairs(found: DataFrame, least: float = 0.8) -> DataFrame:
-    """(a, b, likeness): every document with the first of each band it shares, where the fingerprints verify.
+    """(a, b, likeness): links of like documents that share a band; their components are those of all such pairs.
 
-    ``found`` has (doc_id, fingerprint). A band that many share gives one pair per member, not all pairs; members that
-    are like each other but not like the first meet in other bands.
+    ``found`` has (doc_id, fingerprint). Equal fingerprints are one class, linked by its smallest id. The members of a band
+    are compared with one of them first, those still in different components with each other, in blocks. Rows without id
+    have no links.
     """
+    known = found.where(F.col("doc_id").isNotNull()).select("doc_id", "fingerprint", F.xxhash64("fingerprint").alias("key"))
+    classes = durable(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("fingerprint").alias("fingerprint")))
+    copies = known.join(classes.select("key", "rep"), "key").where(F.col("doc_id") != F.col("rep")).select(
+        F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("likeness")).distinct()
+
     def keys(batch):
-        rows = [(d, f, k) for d, f in zip(batch["doc_id"].to_pylist(), batch["fingerprint"].to_pylist()) for k in bands(f)]
-        return {"doc_id": [r[0] for r in rows], "fingerprint": [r[1] for r in rows], "band": [r[2] for r in rows]}
+        rows = [(d, k) for d, f in zip(batch["key"].to_pylist(), batch["fingerprint"].to_pylist()) for k in bands(f)]
+        return {"key": [r[0] for r in rows], "band": [r[1] for r in rows]}
 
-    banded = map_batches(found.select("doc_id", "fingerprint"), keys, "doc_id long, fingerprint string, band string")
-    first = banded.groupBy("band").agg(F.min(F.struct("doc_id", "fingerprint")).alias("first"))
-    met = banded.join(first, "band").where(F.col("first.doc_id") < F.col("doc_id")).select(
-        F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("first.fingerprint").alias("x"), F.col("fingerprint").alias("y")).distinct()
+    banded = map_batches(classes.select("key", "fingerprint"), keys, "key long, band string", CHUNK).select("key", F.xxhash64("band").alias("band"))
+    banded = durable(banded)
+    sets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("members"), F.min("key").alias("centre"))
+    sets = sets.where("n > 1").groupBy("n", "members").agg(F.min(F.struct("band", "centre")).alias("one")).select("one.band", "one.centre")
+    banded = durable(banded.join(sets, "band"))
 
     def verify(batch):
-        return {"a": batch["a"], "b": batch["b"], "likeness": [likeness(x, y) for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist())]}
-
-    return map_batches(met, verify, "a long, b long, likeness double").where(F.col("likeness") >= least)
+        return {"x": batch["x"], "y": batch["y"], "likeness": [likeness(a, b) for a, b in zip(batch["p"].to_pylist(), batch["q"].to_pylist())]}
+
+    met = banded.where(F.col("key") != F.col("centre")).select(F.col("centre").alias("x"), F.col("key").alias("y")).distinct()
+    prints = lambda k, p: classes.select(F.col("key").alias(k), F.col("fingerprint").alias(p))
+    central = map_batches(met.join(prints("x", "p"), "x").join(prints("y", "q"), "y").select("x", "y", "p", "q"), verify, "x long, y long, likeness double")
+    central = durable(central.where(F.col("likeness") >= least))
+    placed = durable(banded.select("band", "key").join(components(central, "x", "y").withColumnRenamed("node", "key"), "key", "left").select(
+        "band", "key", F.coalesce("component", "key").alias("component")))
+    apart = placed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    blocks = F.ceil(F.col("n") / BAND_BLOCK).cast("int")
+    slot = F.pmod(F.xxhash64("key", F.lit(1)), blocks).cast("int")
+    members = placed.join(apart.select("band", "n"), "band").join(classes.select("key", "fingerprint"), "key").select(
+        "band", "key", "component", "fingerprint", slot.alias("slot"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+
+    def across(table: pa.Table) -> pa.Table:
+        """Pairs of two slots of a band, or within one, whose components differ."""
+        rows = list(zip(*(table[c].to_pylist() for c in ("slot", "key", "component", "fingerprint"))))
+        slots = {r[0] for r in rows}
+        out = []
+        for i, (s, x, c, p) in enumerate(rows):
+            for t, y, d, q in rows[i + 1:]:
+                if c != d and (s != t or len(slots) == 1):
+                    alike = likeness(p, q)
+                    if alike >= least:
+                        out.append((min(x, y), max(x, y), alike))
+        return pa.Table.from_pydict({n: [r[k] for r in out] for k, n in enumerate(fields.names)}, schema=fields)
+
+    fields = arrow_schema("x long, y long, likeness double")
+    pairs = members.groupBy("band", F.least("slot", "other").alias("low"), F.greatest("slot", "other").alias("high")).applyInArrow(
+        across, "x long, y long, likeness double")
+    links = central.unionByName(pairs).distinct()
+    names = lambda k, r: classes.select(F.col("key").alias(k), F.col("rep").alias(r))
+    named = links.join(names("x", "r"), "x").join(names("y", "s"), "y").where(F.col("r") != F.col("s"))
+    return copies.unionByName(named.select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b"), "likeness")).distinct()
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

@@ -85,3 +85,35 @@ def test_near_pairs_finds_edited_copies(spark):
     found = spark.createDataFrame(list(enumerate(E.fingerprints(texts))), "doc_id long, fingerprint string")
     pairs = {(r.a, r.b) for r in E.near_pairs(found).collect()}
     assert pairs == {(i, 20 + i) for i in range(10)}
+
+
+def mixed_texts():
+    """Texts edited at the start, short texts, one beginning that many share, and copies."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(25):
+        t = " ".join(corpus.words(rng, 120))
+        texts += [t, " ".join(corpus.words(rng, 12)) + t[60:]]
+    for n in (8, 10, 12, 15, 18, 20, 30, 40) * 4:
+        t = "".join(rng.choice("abcdefghij") for _ in range(n))
+        texts += [t, t[:n - 2] + "zz"]
+    head = " ".join(corpus.words(rng, 60))
+    for _ in range(20):
+        t = head + " " + " ".join(corpus.words(rng, 60))
+        texts += [t, t[:-8] + "quiteoff"]
+    return texts + texts[:6] + ["", ""]
+
+
+@pytest.mark.parametrize("block", [5, 256])
+def test_near_pairs_recall(spark, monkeypatch, block):
+    monkeypatch.setattr(E, "BAND_BLOCK", block)
+    prints = E.fingerprints(mixed_texts())
+    wanted = [(i, j) for i in range(len(prints)) for j in range(i + 1, len(prints)) if E.likeness(prints[i], prints[j]) >= 0.8]
+    links = E.near_pairs(spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")).collect()
+    assert all(r.a < r.b and r.likeness == E.likeness(prints[r.a], prints[r.b]) >= 0.8 for r in links)
+    label = list(range(len(prints)))
+    for _ in range(len(prints)):
+        for r in links:
+            label[r.a] = label[r.b] = min(label[r.a], label[r.b])
+    met = sum(label[i] == label[j] for i, j in wanted)
+    assert len(wanted) > 40 and met >= 0.95 * len(wanted), (met, len(wanted))
