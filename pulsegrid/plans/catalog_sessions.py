@@ -12,8 +12,8 @@ from pulsegrid.plans.catalog import query, session_candidates, session_state, se
 from pulsegrid.plans.stages import stage
 from pulsegrid.session import durable
 
-DRAWS = 99
-RESOLUTION_DRAWS = 19
+DRAWS = 999
+RESOLUTION_DRAWS = 999
 SEED = 20260717
 PRE_SLOTS, POST_SLOTS, MIN_PAIRS = (-4, -1), (0, 3), 3
 

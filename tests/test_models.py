@@ -227,3 +227,11 @@ def test_stacked_and_left_out_years(spark):
     x, y, yr = np.vstack(pdf["x"]), pdf["y"].to_numpy(), pdf["year_number"].to_numpy()
     err = np.concatenate([y[yr == v] - x[yr == v] @ np.linalg.lstsq(x[yr != v], y[yr != v], rcond=None)[0] for v in np.unique(yr)])
     assert np.isclose(got["rmse_leave_year_out"], np.sqrt((err ** 2).mean()), rtol=1e-6)
+
+
+def test_registered_decision_is_made(spark):
+    from pulsegrid.plans import catalog, catalog_memory, catalog_sessions
+
+    assert {catalog_sessions.DRAWS, catalog_sessions.RESOLUTION_DRAWS, catalog_memory.DRAWS} == {999}
+    rows = catalog.QUERIES["decision_table"](spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == 7 and all(r.evaluated for r in rows) and not any(r.status == "SMOKE_ONLY" for r in rows)
