@@ -44,6 +44,12 @@ class Polynomials:
 _POLY = Polynomials()
 
 
+def inverse_powers(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse."""
+    _POLY.grow(count)
+    return _POLY.up[:count], _POLY.down[:count]
+
+
 def run_edges(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of True."""
     padded = np.zeros(len(inside) + 2, dtype=np.int8)
