@@ -2,68 +2,101 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pulsegrid.functions import packed
 from pulsegrid.functions.draws import draw_numbers, pick, rademacher
-from pulsegrid.functions.frames import date_sequence
+from pulsegrid.functions.frames import date_sequence, dot
 from pulsegrid.functions.quantiles import grouped_quantiles
-from pulsegrid.operators.regression import no_nan
+from pulsegrid.operators.regression import no_nan, solve
+from pulsegrid.session import durable
 
 
-def wild_cluster_p(
-    rows: DataFrame, tests: dict[str, list[int]], draws: int = 999, seed: int = 1, per_task: int = 16
-) -> DataFrame:
-    """Null-imposed wild cluster bootstrap p per (model_name, column).
+def cluster_products(rows: DataFrame) -> DataFrame:
+    """(model_name, cluster, g): packed cross products of (x, y) per cluster; all that the wild draws need of the rows."""
+    return packed.summed(rows.select("model_name", "cluster", packed.products(F.concat("x", F.array("y"))).alias("g")), ["model_name", "cluster"], "g")
 
-    Signs are hashed per (draw, cluster) next to the data. A task handles one model and a block of
-    ``per_task`` draws, so that tasks grow with the draws; it holds that model's rows, one or two per date. Only the tested coefficient is re-estimated:
-    its variance needs one number per cluster and draw.
-    """
-    size, blocks = per_task, -(-draws // per_task)
-    models = list(tests)
-    block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    low, high = F.col("block") * size + 1, F.least((F.col("block") + 1) * size, F.lit(draws))
-    spread = rows.where(F.col("model_name").isin(models)).select("model_name", "cluster", "x", "y", block.alias("block"))
-    spread = spread.where(low <= high).withColumn(
-        "signs", F.transform(F.sequence(low, high), lambda d: rademacher(seed, d, F.col("cluster")).cast("byte"))
-    )
 
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cluster", kind="stable")
-        x, y = np.vstack(pdf["x"]), pdf["y"].to_numpy()
-        signs = np.vstack(pdf["signs"]).astype(float)
-        n, k = x.shape
-        starts = np.flatnonzero(np.r_[True, pdf["cluster"].to_numpy()[1:] != pdf["cluster"].to_numpy()[:-1]])
-        g = len(starts)
-        scale = g / max(g - 1, 1) * (n - 1) / max(n - k, 1)
-        inverse = np.linalg.pinv(x.T @ x)
-
-        def t_values(j, ys):
-            beta = inverse @ (x.T @ ys)
-            load = x @ inverse[:, j]
-            per_cluster = np.add.reduceat(load[:, None] * (ys - x @ beta), starts, axis=0)
-            se = np.sqrt(scale * (per_cluster ** 2).sum(axis=0))
-            return np.where(se > 0, beta[j] / np.where(se > 0, se, 1.0), np.nan)
+_SOLVED = "model_name string, beta array<double>, inverse array<double>, n_obs double, clusters long"
 
+
+def _solved(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One k x k solve per model."""
+    for pdf in parts:
         out = []
-        for j in tests[pdf["model_name"].iloc[0]]:
-            observed = t_values(j, y[:, None])[0]
-            x0 = np.delete(x, j, axis=1)
-            fitted = x0 @ np.linalg.lstsq(x0, y, rcond=None)[0]
-            t = t_values(j, fitted[:, None] + (y - fitted)[:, None] * signs)
-            t = t[np.isfinite(t)]
-            out.append((pdf["model_name"].iloc[0], j, int((np.abs(t) >= abs(observed)).sum()), len(t), float(observed)))
-        return pd.DataFrame(out, columns=["model_name", "column", "exceed", "usable", "t_observed"])
-
-    counted = spread.groupBy("model_name", "block").applyInPandas(
-        each, "model_name string, column int, exceed long, usable long, t_observed double"
-    )
-    return no_nan(counted).groupBy("model_name", "column").agg(
-        F.when(F.max("t_observed").isNotNull(), (1 + F.sum("exceed")) / (1 + F.sum("usable"))).alias("p_wild_cluster"),
-        F.sum("usable").alias("n_usable"),
-    )
+        for r in pdf.itertuples():
+            (g,) = packed.unpacked(np.asarray(r.g))
+            beta, inverse, _ = solve(g)
+            out.append((r.model_name, beta.tolist(), inverse.ravel().tolist(), float(g[0, 0]), r.clusters))
+        yield pd.DataFrame(out, columns=["model_name", "beta", "inverse", "n_obs", "clusters"])
+
+
+def wild_scores(clusters: DataFrame, tests: dict[str, list[int]]) -> DataFrame:
+    """What each cluster adds to the draws of each tested column: (model_name, column, cluster, k, v, p, r, a, ...).
+
+    With the null imposed, b0 = beta - A_j beta_j / A_jj are the coefficients without column j, where A is the inverse of X'X
+    and A_j its column. v = X'u are the cluster's scores at b0, p = A_j'v, and r = (X'X) A_j over the cluster. A draw with signs s
+    has delta = A sum(s v), its coefficient is delta_j, and its cluster scores for column j are s p - r'delta.
+    """
+    spark = clusters.sparkSession
+    tested = F.broadcast(spark.createDataFrame([(m, j) for m, js in tests.items() for j in js], "model_name string, column int"))
+    total = packed.summed(clusters, ["model_name"], "g").join(clusters.groupBy("model_name").agg(F.count(F.lit(1)).alias("clusters")), "model_name")
+    solved = total.mapInPandas(_solved, _SOLVED).withColumn("k", F.size("beta")).join(tested, "model_name")
+    a = F.slice("inverse", F.col("column") * F.col("k") + 1, F.col("k"))
+    shrunk = F.get("beta", "column") / F.get("a", "column")
+    models = solved.withColumn("a", a).withColumn("b0", F.zip_with("beta", F.col("a"), lambda b, x: b - x * shrunk))
+    m = F.col("k") + 1
+    own = clusters.join(models, "model_name").withColumn("full", packed.whole(F.col("g"), m))
+    own = own.withColumns({"xx": packed.block(F.col("full"), m, F.col("k")), "xy": packed.column(F.col("full"), m, F.col("k"), F.col("k"))})
+    scored = own.withColumn("v", F.zip_with("xy", packed.times(F.col("xx"), F.col("b0"), F.col("k")), lambda x, y: x - y))
+    return scored.select("model_name", "column", "cluster", "k", "n_obs", "clusters", "inverse", "v", dot(F.col("a"), F.col("v")).alias("p"),
+                         packed.times(F.col("xx"), F.col("a"), F.col("k")).alias("r"))
+
+
+def wild_draws(scores: DataFrame, draws: int, seed: int) -> DataFrame:
+    """(model_name, column, draw, t) of every draw; draw 0 has all signs 1, which gives the data back.
+
+    Signs are hashes of (seed, draw, cluster) and meet the clusters' scores only, so a draw adds one short vector per
+    cluster, summed where it is.
+    """
+    keys = ["model_name", "column"]
+    width = scores.agg(F.max("k")).first()[0] or 1
+    sign = F.when(F.col("draw") == 0, 1.0).otherwise(rademacher(seed, F.col("draw"), F.col("cluster")))
+    spread = scores.select(*keys, "cluster", "p", "v", F.transform("r", lambda x: x * F.col("p")).alias("pr"), F.explode(F.sequence(F.lit(0), F.lit(draws))).alias("draw")).withColumn("sign", sign)
+    sums = [F.sum(F.col("sign") * F.get(c, F.lit(i))).alias(f"{c}{i}") for c in ("v", "pr") for i in range(width)]
+    drawn = spread.groupBy(*keys, "draw").agg(*sums)
+    whole = scores.groupBy(*keys).agg(F.first("k").alias("k"), F.first("inverse").alias("inverse"), F.first("n_obs").alias("n"),
+                                      F.first("clusters").alias("g"), F.sum(F.col("p") * F.col("p")).alias("pp"))
+    outer = packed.summed(scores.select(*keys, packed.products(F.col("r")).alias("rr")), keys, "rr")
+    fixed = F.broadcast(whole.join(outer, keys).withColumn("rr", packed.whole(F.col("rr"), F.col("k"))))  # one row per tested column
+    both = drawn.join(fixed, keys)
+    k = F.col("k")
+    vector = lambda c: F.slice(F.array(*[F.col(f"{c}{i}") for i in range(width)]), F.lit(1), k)
+    delta = both.select(*keys, "draw", "k", "n", "g", "pp", "rr", vector("pr").alias("pr"), packed.times(F.col("inverse"), vector("v"), k).alias("delta"))
+    squares = F.col("pp") - 2 * dot(F.col("delta"), F.col("pr")) + dot(F.col("delta"), packed.times(F.col("rr"), F.col("delta"), k))
+    scale = F.col("g") / F.greatest(F.col("g") - 1, F.lit(1)) * (F.col("n") - 1) / F.greatest(F.col("n") - k, F.lit(1.0))
+    return delta.withColumn("variance", scale * squares).select(
+        *keys, "draw", F.when(F.col("variance") > 0, F.get("delta", "column") / F.sqrt("variance")).alias("t"))
+
+
+def wild_cluster_p(rows: DataFrame, tests: dict[str, list[int]], draws: int = 999, seed: int = 1) -> DataFrame:
+    """Null-imposed wild cluster bootstrap p per (model_name, column), with the t value of the data.
+
+    Rows are read once, into cross products per cluster; see :func:`wild_scores` and :func:`wild_draws`.
+    """
+    own = rows.where(F.col("model_name").isin(list(tests)))
+    t = no_nan(wild_draws(durable(wild_scores(durable(cluster_products(own)), tests)), draws, seed))
+    observed = t.where("draw = 0").select("model_name", "column", F.col("t").alias("t_observed"))
+    counted = t.where("draw > 0 AND t IS NOT NULL").join(F.broadcast(observed), ["model_name", "column"]).groupBy("model_name", "column").agg(
+        F.sum((F.abs("t") >= F.abs("t_observed")).cast("long")).alias("exceed"), F.count("t").alias("n_usable"))
+    return observed.join(counted, ["model_name", "column"], "left").select(
+        "model_name", "column", "t_observed",
+        F.when(F.col("t_observed").isNotNull(), (1 + F.coalesce("exceed", F.lit(0))) / (1 + F.coalesce("n_usable", F.lit(0)))).alias("p_wild_cluster"),
+        F.coalesce("n_usable", F.lit(0)).alias("n_usable"))
 
 
 def term_columns(spec: DataFrame, suffixes: tuple[str, ...] = ("q_target", "q_factor", "_x_pre")) -> dict[str, list[int]]:

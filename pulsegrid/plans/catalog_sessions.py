@@ -8,7 +8,7 @@ from pulsegrid.operators import counterfactual as cf
 from pulsegrid.operators import matching, quality, regression, resampling, resolution, spectrum, state, variation
 from pulsegrid.plans import batteries
 from pulsegrid.plans import inputs as I
-from pulsegrid.plans.catalog import query, session_candidates, session_state, session_windows
+from pulsegrid.plans.catalog import query, session_candidates, session_signal, session_state, session_windows
 from pulsegrid.plans.stages import stage
 from pulsegrid.session import durable
 
@@ -95,6 +95,13 @@ def event_coefficients(rows: DataFrame, models, draws: int = DRAWS) -> DataFrame
     return regression.coefficients(fitted).join(named, ["model_name", "term"], "left")
 
 
+@query("model_name", "t_observed", "p_wild_cluster", "n_usable")
+def wild_cluster_simple(t: I.Tables) -> DataFrame:
+    """Wild draws of the one-regressor models, which have a closed form on the rows."""
+    panel, simple = session_signal(t), [m for m in batteries.SIGNAL if len(m.terms) == 1]
+    return resampling.wild_cluster_p(regression.design(panel, simple), {m.name: [1] for m in simple}, DRAWS, SEED)
+
+
 @query()
 def counterfactual_models(t: I.Tables) -> DataFrame:
     return event_coefficients(abnormal_panel(t), batteries.COUNTERFACTUAL)

@@ -131,6 +131,22 @@ SELECT model_name, 'Intercept' AS term, b0 AS beta, sqrt(c * s0) AS se, b0 / sqr
   1 - sse / (syy - sy * sy / n) AS r2 FROM sols3
 UNION ALL SELECT model_name, term, b1, sqrt(c * s1), b1 / sqrt(c * s1), n, n, 1 - sse / (syy - sy * sy / n) FROM sols3""")
 twin("cluster_ols_simple", "model_name:s term:s beta:f se:f t_stat:f n_obs:i n_clusters:i r2:f", "sols")
+# Wild draws by their definition on the rows: with the null imposed, the fit is the mean.
+cte("swild0", """
+SELECT model_name, event_date, x - avg(x) OVER m AS dx, y - avg(y) OVER m AS u, count(*) OVER m AS n
+FROM sols0 WINDOW m AS (PARTITION BY model_name)""")
+cte("swild1", """
+SELECT *, CASE WHEN d = 0 OR md5('20260717|' || d || '|' || event_date) < '8' THEN u ELSE -u END AS su FROM swild0, range(1000) r(d)""")
+cte("swild2", """
+SELECT *, sum(dx * su) OVER w / sum(dx * dx) OVER w AS b, avg(su) OVER w AS m, sum(dx * dx) OVER w AS xx
+FROM swild1 WINDOW w AS (PARTITION BY model_name, d)""")
+cte("swild3", """
+SELECT model_name, d, any_value(b) / sqrt(any_value(n) / (any_value(n) - 1.0) * (any_value(n) - 1.0) / (any_value(n) - 2.0)
+  * sum(pow(dx * (su - m - b * dx) / xx, 2))) AS t FROM swild2 GROUP BY model_name, d""")
+cte("swild", """
+SELECT a.model_name, o.t AS t_observed, (1 + count(*) FILTER (WHERE abs(a.t) >= abs(o.t))) / (1.0 + count(*)) AS p_wild_cluster, count(*) AS n_usable
+FROM swild3 a JOIN swild3 o ON o.model_name = a.model_name AND o.d = 0 WHERE a.d > 0 GROUP BY a.model_name, o.t""")
+twin("wild_cluster_simple", "model_name:s t_observed:f p_wild_cluster:f n_usable:i", "swild")
 cte("sper0", """
 SELECT root_code, "asinh_PR_rv" - avg("asinh_PR_rv") OVER (PARTITION BY root_code) AS x, count(*) OVER (PARTITION BY root_code) AS n,
   row_number() OVER (PARTITION BY root_code ORDER BY event_date) - 1 AS k FROM ssig WHERE "asinh_PR_rv" IS NOT NULL""")

@@ -1,5 +1,6 @@
 """Estimators against plain NumPy refits, brute force and identities."""
 
+import hashlib
 from datetime import date, timedelta
 
 import numpy as np
@@ -144,10 +145,41 @@ def test_nearest_controls_brute_force(spark):
 def test_wild_p_ignores_partitioning(panel):
     m = R.Model("m", "y", TERMS)
     a = resampling.wild_cluster_p(R.design(panel, [m]), {"m": [1, 3]}, 49, 5).orderBy("column").collect()
-    b = resampling.wild_cluster_p(R.design(panel.repartition(7), [m]), {"m": [1, 3]}, 49, 5, per_task=17).orderBy("column").collect()
+    b = resampling.wild_cluster_p(R.design(panel.repartition(7), [m]), {"m": [1, 3]}, 49, 5).orderBy("column").collect()
     assert [r["p_wild_cluster"] for r in a] == [r["p_wild_cluster"] for r in b] and all(0 < r["p_wild_cluster"] <= 1 for r in a)
 
 
+def test_wild_draws_match_refits_on_rows(panel):
+    """Every draw by its definition: signs on the restricted residuals, a refit on the rows, clustered errors."""
+    models = [R.Model("m", "y", TERMS), R.Model("short", "y", TERMS[:1])]
+    tests, draws, seed = {"m": [1, 3], "short": [1]}, 19, 5
+    rows = R.design(panel, models)
+    scores = resampling.wild_scores(resampling.cluster_products(rows), tests)
+    got = {(r.model_name, r.column, r.draw): r.t for r in resampling.wild_draws(scores, draws, seed).collect()}
+    assert len(got) == 3 * (draws + 1)
+    plain = rows.toPandas()
+    for name, g in plain.groupby("model_name"):
+        x, y, cluster = np.vstack(g["x"]), g["y"].to_numpy(), g["cluster"].to_numpy()
+        n, k = x.shape
+        units = np.unique(cluster)
+        for j in tests[name]:
+            x0 = np.delete(x, j, axis=1)
+            fitted = x0 @ np.linalg.lstsq(x0, y, rcond=None)[0]
+            for d in range(draws + 1):
+                signs = {c: 1.0 if d == 0 or hashlib.md5(f"{seed}|{d}|{c}".encode()).hexdigest() < "8" else -1.0 for c in units}
+                ys = fitted + (y - fitted) * np.array([signs[c] for c in cluster])
+                inverse = np.linalg.inv(x.T @ x)
+                beta = inverse @ x.T @ ys
+                own = [inverse[j] @ x[cluster == c].T @ (ys - x @ beta)[cluster == c] for c in units]
+                se = np.sqrt(len(units) / (len(units) - 1) * (n - 1) / (n - k) * np.square(own).sum())
+                assert np.isclose(got[name, j, d], beta[j] / se, rtol=1e-7, atol=1e-9)
+
+
+def test_wild_p_of_a_model_without_rows(panel):
+    m = R.Model("m", "y", TERMS)
+    assert resampling.wild_cluster_p(R.design(panel.where("1 = 0"), [m]), {"m": [1]}, 9, 5).collect() == []
+
+
 def test_unit_weights_add_up(panel):
     units = panel.withColumn("all", F.lit(1))
     w = resampling.unit_weights(units, ["all"], "event_date", 20, 1).groupBy("draw").agg(F.sum("w").alias("n")).toPandas()
