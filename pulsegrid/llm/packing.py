@@ -15,13 +15,16 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from pulsegrid.llm.batches import map_batches, text_groups
+from pulsegrid.llm.batches import map_batches
 from pulsegrid.llm.common import documents, root_bits
+from pulsegrid.llm.text_buffers import buffers
 from pulsegrid.llm.tokens import encoder, tokenizer_path
 from pulsegrid.session import durable
 
@@ -32,23 +35,29 @@ BATCH_BYTES = 4 << 20
 
 def token_pieces(docs: DataFrame, path: str, window: int, end_id: int) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): full windows of every document and what remains of it."""
-    end = end_id.to_bytes(4, "little")
-
-    def each(batch):
-        ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
-        out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
-        for lo, hi in text_groups(texts, BATCH_BYTES):
-            for doc, data in zip(ids[lo:hi], encoder(path).encode(texts[lo:hi])):
-                data += end
-                total = len(data) // 4
-                for start in range(0, total, window):
-                    piece = data[4 * start:4 * (start + window)]
-                    for name, value in zip(out, (doc, start, len(piece) // 4, zlib.crc32(piece), total)):
-                        out[name].append(value)
-        return out
-
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), each,
-                       "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
+    schema = pa.schema([(n, pa.int64()) for n in names])
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path).group
+        for batch in batches:
+            for lo, hi, data, bounds in buffers(batch["text"], BATCH_BYTES):
+                ids, ends = encode(data, bounds)
+                # The end token goes behind each document's ids.
+                ids = np.insert(ids, ends, end_id).astype("<u4")
+                total = np.diff(ends, prepend=0) + 1
+                count = -(-total // window)
+                nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                doc_tokens = np.repeat(total, count)
+                start = nth * window
+                length = np.minimum(window, doc_tokens - start)
+                raw = memoryview(ids.tobytes())
+                at = 4 * (np.repeat(np.cumsum(total) - total, count) + start)
+                crc = [zlib.crc32(raw[a:a + n]) for a, n in zip(at.tolist(), (4 * length).tolist())]
+                docs_of = batch["doc_id"].slice(lo, hi - lo).take(pa.array(np.repeat(np.arange(hi - lo), count)))
+                yield pa.RecordBatch.from_arrays([docs_of, pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(doc_tokens)], schema=schema)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(over, ", ".join(f"{n} long" for n in names))
 
 
 # ---- the plan, on lengths and counts ----------------------------------------------------------------

@@ -16,7 +16,7 @@ from pulsegrid.llm.hashing import segment_hashes
 
 LONG = 48
 #: Pieces a worker remembers before it starts afresh.
-MEMO_PIECES = 600_000
+MEMO_PIECES = 1_500_000
 
 
 def buffers(column: pa.Array, most_bytes: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

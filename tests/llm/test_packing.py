@@ -25,8 +25,15 @@ def test_ids_are_those_of_whole_texts(whole, texts):
     assert [list(struct.unpack(f"<{len(b) // 4}I", b)) for b in found] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list(" aB1.,'sté×÷ÀΣσ́—<|>ñ\n")), max_size=25), max_size=4))
+def test_pieces_within_words(whole, texts):
+    found = tokens.encoder(tokens.tokenizer_path()).encode(texts)
+    assert [list(struct.unpack(f"<{len(b) // 4}I", b)) for b in found] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_special_token_text(whole):
-    text = "a<|endoftext|>b <|startoftext|> It's 42"
+    text = "a<|endoftext|>b <|startoftext|> <|ENDOFTEXT|> X<|EndOfText|>Y It's 42"
     (data,) = tokens.encoder(tokens.tokenizer_path()).encode([text])
     assert list(struct.unpack(f"<{len(data) // 4}I", data)) == whole.encode(text, add_special_tokens=False).ids
 
