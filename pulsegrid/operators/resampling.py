@@ -128,84 +128,80 @@ def two_sided(d: Column, usable: Column) -> Column:
     return F.least(F.lit(1.0), 2 * F.least(low, high))
 
 
-def _weighted_fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, int]:
-    root = np.sqrt(w)
-    beta, _, rank, _ = np.linalg.lstsq(x * root[:, None], y * root, rcond=None)
-    return beta, rank
-
-
 TWO_STAGE_OUTCOMES = ("log_BV_post", "log_RV_post", "jump_share_post")
 
 
-def two_stage_rows(windows: DataFrame, normal: DataFrame) -> DataFrame:
-    """Root-days with the normal design vector of each outcome, ready for weighting by date."""
-    at = lambda y, c: F.max(F.when(F.col("outcome") == y, F.col(c)))
-    wide = normal.groupBy("trade_date", "root_code").agg(
-        *[at(y, "y").alias(f"y_{y}") for y in TWO_STAGE_OUTCOMES],
-        *[at(y, "x").alias(f"x_{y}") for y in TWO_STAGE_OUTCOMES],
-    )
-    keep = ("trade_date", "root_code", "is_event", "window_eligible", "log_BV_pre", "q_target", "q_factor", "regime_hike", "root_gg")
-    return windows.select(*keep).join(wide, ["trade_date", "root_code"], "left")
+_SPEC_SIDE = 7
 
 
-def two_stage_estimates(weighted: DataFrame, specs, min_controls: int = 100) -> DataFrame:
+def two_stage_rows(windows: DataFrame, normal: DataFrame) -> DataFrame:
+    """Eligible root-days, one row per outcome, with the normal design vector where the outcome has one."""
+    keep = ("trade_date", "root_code", "is_event", "log_BV_pre", "q_target", "q_factor", "regime_hike", "root_gg")
+    outcomes = windows.where("window_eligible").select(*keep, F.explode(F.array(*map(F.lit, TWO_STAGE_OUTCOMES))).alias("outcome"))
+    return outcomes.join(normal.select("trade_date", "root_code", "outcome", "x", "y"), ["trade_date", "root_code", "outcome"], "left")
+
+
+def date_weights(rows: DataFrame, draws: int, seed: int) -> DataFrame:
+    """(draw, trade_date, w): event and control dates are resampled apart; draw 0 has every date once."""
+    drawn = unit_weights(rows, ["is_event"], "trade_date", draws, seed).select("draw", "trade_date", "w")
+    point = rows.select(F.lit(0).alias("draw"), "trade_date", F.lit(1).cast("long").alias("w")).distinct()
+    return point.unionByName(drawn)
+
+
+def control_states(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """(draw, root_code, mean, sd) of the state before the release on the drawn control dates, centred before squaring."""
+    own = rows.where("NOT is_event AND log_BV_pre IS NOT NULL").select("trade_date", "root_code", "log_BV_pre").distinct()
+    centre = own.groupBy("root_code").agg(F.avg("log_BV_pre").alias("centre"))
+    d, w = F.col("log_BV_pre") - F.col("centre"), F.col("w")
+    sums = weights.join(own.join(centre, "root_code"), "trade_date").groupBy("draw", "root_code").agg(
+        F.sum(w).alias("total"), F.sum(w * d).alias("s"), F.sum(w * d * d).alias("ss"), F.first("centre").alias("centre"))
+    variance = (F.col("ss") - F.col("s") * F.col("s") / F.col("total")) / (F.col("total") - 1)
+    known = sums.where("total > 1").select("draw", "root_code", (F.col("centre") + F.col("s") / F.col("total")).alias("mean"), F.sqrt(variance).alias("sd"))
+    return known.where("sd > 0")
+
+
+def spec_estimates(rows: DataFrame, specs, value: Column, state: Column, weight: Column) -> DataFrame:
+    """(draw, spec, term, beta) of the energy and its interaction in every specification: weighted cross products per
+    (draw, spec), one solve each; a draw with fewer rows or less rank than columns has no estimate."""
+    one = F.lit(1.0)
+    cells = []
+    for name, y, q, root in specs:
+        energy = F.col(q).cast("double")
+        x = [one, energy, state, energy * state, F.col("regime_hike").cast("double"), *([F.col("root_gg").cast("double")] if root == "pooled" else [])]
+        fits_in = (F.col("outcome") == y) & (F.lit(root == "pooled") | (F.col("root_code") == root))
+        complete = value.isNotNull() & state.isNotNull() & F.col(q).isNotNull() & F.col("regime_hike").isNotNull()
+        cells.append(F.when(fits_in & complete, F.struct(F.lit(name).alias("spec"), F.array(*x, value).alias("z"))))
+    each = rows.select("draw", weight.alias("w"), F.explode(F.array(*cells)).alias("c")).where("c IS NOT NULL").select(
+        "draw", "w", "c.spec", packed.products(F.col("c.z")).alias("g"))
+    sums = packed.weighted(each, ["draw", "spec"], "g", F.col("w"), packed.triangle(_SPEC_SIDE))
+    sums = sums.where(F.col("n_rows") >= packed.side(F.col("g")) - 1)
+    fitted = packed.solved(sums, ["draw", "spec"], "g").where(F.col("rank") == F.size("beta"))
+    energy = F.create_map(*[F.lit(v) for name, _, q, _ in specs for v in (name, q)])[F.col("spec")]
+    return fitted.select("draw", "spec", F.explode(F.array(
+        F.struct(energy.alias("term"), F.get("beta", F.lit(1)).alias("beta")),
+        F.struct(F.concat(energy, F.lit("_x_pre")).alias("term"), F.get("beta", F.lit(3)).alias("beta")))).alias("e")).select("draw", "spec", "e.*")
+
+
+def two_stage_estimates(rows: DataFrame, weights: DataFrame, specs, min_controls: int = 100) -> DataFrame:
     """Both stages refitted per draw on date weights: (draw, spec, term, beta).
 
-    A draw is one group: at most one row per root and calendar date.
+    The cross products of a root-day are formed once; a draw only weighs and adds them, per (draw, outcome, root) in the first
+    stage and per (draw, specification) in the second.
     """
-    specs = tuple(specs)
-
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["trade_date", "root_code"], kind="stable")
-        event, ok = pdf["is_event"].to_numpy(bool), pdf["window_eligible"].to_numpy(bool)
-        w, root = pdf["w"].to_numpy(float), pdf["root_code"].to_numpy()
-        pre = pdf["log_BV_pre"].to_numpy(float)
-        state = np.full(len(pdf), np.nan)
-        for r in np.unique(root):
-            c = (root == r) & ~event & ok & np.isfinite(pre)
-            total = w[c].sum()
-            if total > 1:
-                mean = (w[c] * pre[c]).sum() / total
-                sd = np.sqrt((w[c] * (pre[c] - mean) ** 2).sum() / (total - 1))
-                if sd > 0:
-                    state[root == r] = (pre[root == r] - mean) / sd
-        left = {}
-        for y_name in {s[1] for s in specs}:
-            y = pdf[f"y_{y_name}"].to_numpy(float)
-            has = np.array([v is not None for v in pdf[f"x_{y_name}"]]) & np.isfinite(y) & ok
-            abnormal = np.full(len(pdf), np.nan)
-            for r in np.unique(root):
-                train, new = has & (root == r) & ~event, has & (root == r) & event
-                if w[train].sum() < min_controls or not new.any():
-                    continue
-                beta, _ = _weighted_fit(np.vstack(pdf[f"x_{y_name}"][train]), y[train], w[train])
-                abnormal[new] = y[new] - np.vstack(pdf[f"x_{y_name}"][new]) @ beta
-            left[y_name] = abnormal
-        out = []
-        for name, y_name, q_name, r in specs:
-            q = pdf[q_name].to_numpy(float)
-            cols = [np.ones(len(pdf)), q, state, q * state, pdf["regime_hike"].to_numpy(float)]
-            if r == "pooled":
-                cols.append(pdf["root_gg"].to_numpy(float))
-            x, y = np.column_stack(cols), left[y_name]
-            rows = event & ok & np.isfinite(y) & np.isfinite(x).all(axis=1) & ((root == r) | (r == "pooled"))
-            beta = np.full(x.shape[1], np.nan)
-            if rows.sum() >= x.shape[1]:
-                b, rank = _weighted_fit(x[rows], y[rows], w[rows])
-                beta = b if rank == x.shape[1] else beta
-            out += [(int(pdf["draw"].iloc[0]), name, q_name, beta[1]), (int(pdf["draw"].iloc[0]), name, f"{q_name}_x_pre", beta[3])]
-        return pd.DataFrame(out, columns=["draw", "spec", "term", "beta"])
-
-    return no_nan(weighted.groupBy("draw").applyInPandas(each, "draw int, spec string, term string, beta double"))
+    known = rows.where("x IS NOT NULL AND y IS NOT NULL")
+    control = known.where("NOT is_event").select("trade_date", "root_code", "outcome", packed.products(F.concat("x", F.array("y"))).alias("g"))
+    keys = ["draw", "outcome", "root_code"]
+    sums = packed.drawn(weights, durable(control), "trade_date", keys[1:], "g").where(F.col("total") >= min_controls)
+    first = packed.solved(sums, keys, "g")
+    events = known.where("is_event").join(weights, "trade_date").join(first, keys).join(control_states(rows, weights), ["draw", "root_code"])
+    return spec_estimates(events, specs, F.col("y") - dot(F.col("x"), F.col("beta")), (F.col("log_BV_pre") - F.col("mean")) / F.col("sd"), F.col("w").cast("double"))
 
 
 def two_stage_bootstrap(rows: DataFrame, specs, draws: int = 999, seed: int = 1) -> DataFrame:
     """Intervals and p values of the two-stage date bootstrap; draw 0 is the estimate itself."""
-    weights = unit_weights(rows, ["is_event"], "trade_date", draws, seed)
-    point = rows.withColumns({"draw": F.lit(0), "w": F.lit(1).cast("long")})
-    drawn = rows.join(weights, ["is_event", "trade_date"]).select(*point.columns)
-    estimates = two_stage_estimates(point.unionByName(drawn), specs)
-    observed = estimates.where("draw = 0").select("spec", "term", F.col("beta").alias("beta_original"))
+    estimates = durable(two_stage_estimates(rows, durable(date_weights(rows, draws, seed)), specs))
+    names = rows.sparkSession.createDataFrame([(n, t) for n, _, q, _ in specs for t in (q, f"{q}_x_pre")], "spec string, term string")
+    observed = names.join(estimates.where("draw = 0").select("spec", "term", F.col("beta").alias("beta_original")), ["spec", "term"], "left")
     return observed.join(draw_summary(estimates.where("draw > 0"), ["spec", "term"], "beta", draws), ["spec", "term"], "left")
 
 
@@ -233,27 +229,7 @@ def matched_placebos(matches: DataFrame, event_rows: DataFrame, observed: DataFr
     drawn = slots.withColumn("match_rank", chosen).drop("n_matches").join(pseudo, [*key, "match_rank"])
     facts = event_rows.where("window_eligible").select("trade_date", "root_code", "q_target", "q_factor", "regime_hike", "root_gg")
     rows = drawn.join(facts, ["trade_date", "root_code"])
-    specs = tuple(specs)
-
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["outcome", "trade_date", "root_code"], kind="stable")
-        draw, out = int(pdf["draw"].iloc[0]), []
-        for name, y_name, q_name, r in specs:
-            g = pdf[(pdf["outcome"] == y_name) & ((pdf["root_code"] == r) | (r == "pooled"))]
-            g = g.dropna(subset=[q_name, "pseudo", "control_state", "regime_hike"])
-            q, z = g[q_name].to_numpy(float), g["control_state"].to_numpy(float)
-            cols = [np.ones(len(g)), q, z, q * z, g["regime_hike"].to_numpy(float)]
-            if r == "pooled":
-                cols.append(g["root_gg"].to_numpy(float))
-            x = np.column_stack(cols)
-            beta = np.full(x.shape[1], np.nan)
-            if len(g) >= x.shape[1]:
-                b, rank = _weighted_fit(x, g["pseudo"].to_numpy(float), np.ones(len(g)))
-                beta = b if rank == x.shape[1] else beta
-            out += [(draw, name, q_name, beta[1]), (draw, name, f"{q_name}_x_pre", beta[3])]
-        return pd.DataFrame(out, columns=["draw", "spec", "term", "beta"])
-
-    betas = no_nan(rows.groupBy("draw").applyInPandas(each, "draw int, spec string, term string, beta double"))
+    betas = durable(spec_estimates(rows, specs, F.col("pseudo"), F.col("control_state"), F.lit(1.0)))
     d = F.col("beta")
     with_obs = betas.join(observed, ["spec", "term"])
     stats = with_obs.groupBy("spec", "term").agg(
