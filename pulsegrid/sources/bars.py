@@ -25,13 +25,15 @@ def scan_raw_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file_name, raw_line_no, line) with files split over tasks, whatever their size.
 
     A task numbers the lines of its own file blocks; the lines of earlier blocks of the same file
-    are added from a small table with one row per block.
+    are added from a small table with one row per block. Where the folder has a level ``file_name=...``, as Spark writes
+    it, that is the file's name, and its parts are blocks in order.
     """
+    text = spark.read.text(path)
+    named = F.col("file_name") if "file_name" in text.columns else F.col("_metadata.file_name")
     lines = (
-        spark.read.text(path)
-        .select(
-            F.col("_metadata.file_name").alias("file_name"),
-            F.col("_metadata.file_block_start").alias("block"),
+        text.select(
+            named.alias("file_name"),
+            F.struct(F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_block_start").alias("start")).alias("block"),
             F.monotonically_increasing_id().alias("position"),
             F.col("value").alias("line"),
         )
