@@ -8,12 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from pulsegrid.functions import tails
-from pulsegrid.functions.frames import date_sequence, dot, from_previous
+from pulsegrid.functions import packed, tails
+from pulsegrid.functions.frames import date_sequence, dot, from_previous, total_before
 from pulsegrid.functions.quantiles import grouped_quantiles
 from pulsegrid.operators import regression as R
-from pulsegrid.operators.regression import no_nan, solve, square
+from pulsegrid.operators.regression import no_nan
 from pulsegrid.operators.resampling import block_bootstrap_mean
+from pulsegrid.session import durable
 
 # State blocks of the full model and forecasting history.
 STATE_BLOCKS = (
@@ -54,27 +55,28 @@ def battery(specs: dict[str, tuple[str, ...]], outcomes: list[str]) -> list[R.Mo
     return [R.Model(f"{y}|{n}", y, x) for y in outcomes for n, x in specs.items()]
 
 
+def date_products(rows: DataFrame) -> DataFrame:
+    """(model_name, event_date, g): packed cross products of (x, y) per model and date."""
+    return packed.summed(rows.select("model_name", "event_date", packed.products(F.concat("x", F.array("y"))).alias("g")), ["model_name", "event_date"], "g")
+
+
+def trained(sums: DataFrame) -> DataFrame:
+    """Coefficients of every (model, date) whose training rows outnumber its columns."""
+    known = sums.withColumn("n_train_obs", F.round(F.get("g", F.lit(0))).cast("long")).where(F.col("n_train_obs") > packed.side(F.col("g")) - 1)
+    return packed.solved(known, ["model_name", "event_date", "n_train_obs", "n_train_events"], "g")
+
+
 def cross_fit(panel: DataFrame, models: list[R.Model]) -> DataFrame:
     """Predictions of every event from a fit to all other events.
 
-    Each event's cross products are subtracted from the total; one group holds one model's events.
+    Each event's cross products are subtracted from the total; every (model, event) is a solve of its own.
     """
     rows = R.design(panel, models, ["event_date", "root_code", "shock_target_10bp", "state_pre_rv_z"])
-    per_event = R.gram(rows, ["model_name", "event_date"])
-
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = {d: square(g["i"], g["j"], g["v"]) for d, g in pdf.groupby("event_date")}
-        total, out = sum(parts.values()), []
-        for d, own in parts.items():
-            g = total - own
-            beta, _, rank = solve(g)
-            if g[0, 0] > len(beta):
-                out.append((pdf["model_name"].iloc[0], d, beta.tolist(), int(round(g[0, 0])), len(parts) - 1, len(beta), rank))
-        return pd.DataFrame(out, columns=["model_name", "event_date", "b", "n_train_obs", "n_train_events", "n_parameters", "rank_x"])
-
-    betas = per_event.groupBy("model_name").applyInPandas(
-        each, "model_name string, event_date date, b array<double>, n_train_obs long, n_train_events long, n_parameters int, rank_x int"
-    )
+    per_event = durable(date_products(rows))
+    total = packed.summed(per_event, ["model_name"], "g").join(per_event.groupBy("model_name").agg((F.count(F.lit(1)) - 1).alias("n_train_events")), "model_name")
+    others = per_event.join(total.withColumnRenamed("g", "total"), "model_name").select(
+        "model_name", "event_date", "n_train_events", F.zip_with("total", "g", lambda x, y: x - y).alias("g"))
+    betas = trained(others).withColumnsRenamed({"beta": "b", "rank": "rank_x"}).withColumn("n_parameters", F.size("b"))
     fitted = dot(F.col("x"), F.col("b"))
     name = F.split("model_name", r"\|")
     return rows.join(betas, ["model_name", "event_date"]).select(
@@ -175,7 +177,7 @@ def with_history(panel: DataFrame, outcome: str) -> DataFrame:
 def expanding_forecasts(panel: DataFrame, outcome: str, specs: dict[str, tuple[str, ...]], min_events: int = 45) -> DataFrame:
     """Forecasts of each event from earlier events only, with and without history terms.
 
-    Cross products are summed per date in Spark and accumulated over dates per model.
+    Cross products are summed per date and accumulated over dates, and every (model, date) is a solve of its own.
     """
     rows = with_history(panel, outcome)
     complete = " AND ".join(f"{c} IS NOT NULL" for c in HISTORY)
@@ -184,20 +186,14 @@ def expanding_forecasts(panel: DataFrame, outcome: str, specs: dict[str, tuple[s
         models.append(R.Model(f"{name}|state", outcome, x, complete))
         models.append(R.Model(f"{name}|history", outcome, (*x, *[h for h in HISTORY if h not in x])))
     vectors = R.design(rows, models, ["event_date", "root_code"])
-    per_date = R.gram(vectors, ["model_name", "event_date"])
-
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, total = [], None
-        for i, (d, g) in enumerate(sorted(pdf.groupby("event_date"), key=lambda e: e[0])):
-            own = square(g["i"], g["j"], g["v"])
-            if total is not None and i >= min_events and total[0, 0] > len(total) - 1:
-                out.append((pdf["model_name"].iloc[0], d, solve(total)[0].tolist(), int(round(total[0, 0])), i))
-            total = own if total is None else total + own
-        return pd.DataFrame(out, columns=["model_name", "event_date", "b", "n_train_obs", "n_train_events"])
-
-    betas = per_date.groupBy("model_name").applyInPandas(
-        each, "model_name string, event_date date, b array<double>, n_train_obs long, n_train_events int"
-    )
+    per_date = durable(date_products(vectors))
+    # Sums over earlier dates, place by place: year totals first, then inside the year.
+    places = per_date.select("model_name", "event_date", F.posexplode("g").alias("place", "v"))
+    before = total_before(places, ["model_name", "place"], "event_date", "v", "sum").where("sum IS NOT NULL")
+    sums = before.groupBy("model_name", "event_date").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "sum"))), lambda e: e["sum"]).alias("g"))
+    nth = date_sequence(per_date.select("model_name", "event_date"), "event_date", ["model_name"]).select(
+        "model_name", "event_date", (F.col("seq") - 1).cast("int").alias("n_train_events"))
+    betas = trained(sums.join(nth, ["model_name", "event_date"]).where(F.col("n_train_events") >= min_events)).withColumnRenamed("beta", "b")
     name = F.split("model_name", r"\|")
     tall = vectors.join(betas, ["model_name", "event_date"]).select(
         "event_date", "root_code", F.get(name, F.lit(0)).alias("state_model"), F.get(name, F.lit(1)).alias("kind"), "y",

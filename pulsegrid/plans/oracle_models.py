@@ -301,3 +301,65 @@ battery("mmt", "smp", _SPECIFICATIONS)
 wild("mmt", _TESTED)
 cte("mmtall", "SELECT b.*, w.p_wild_cluster FROM mmtb b LEFT JOIN mmtw w ON w.model_name = b.model_name AND w.term = b.term WHERE b.n_clusters >= 30")
 twin("matched_models", COEFFICIENTS + " p_wild_cluster:f", "mmtall")
+
+# ---- bipower models and predictability ----------------------------------------------------------
+
+cte("xseq", """
+SELECT *, row_number() OVER f AS pos, lag(px) OVER f AS prev FROM sb WINDOW f AS (PARTITION BY file_name_clean ORDER BY bd)""")
+cte("xfirst", """
+SELECT p.event_date, p.root_code, p.file_name_clean,
+  (SELECT count(*) FROM sb b WHERE b.file_name_clean = p.file_name_clean AND b.bd < p.event_date + 5) + 1 AS first_pos FROM ssig p""")
+cte("xasof", """
+SELECT f.event_date, f.root_code, s.bd, ln(s.px) - ln(s.prev) AS r FROM xfirst f JOIN xseq s ON s.file_name_clean = f.file_name_clean
+  AND s.pos >= f.first_pos AND s.pos < f.first_pos + 6 WHERE f.first_pos > 1""")
+cte("xpair", "SELECT *, abs(r) * abs(lag(r) OVER (PARTITION BY event_date, root_code ORDER BY bd)) AS pp FROM xasof")
+cte("xbns", """
+SELECT event_date, root_code, asinh(pi() / 2 * sum(pp)) AS "asinh_BV_PR", asinh(greatest(sum(r * r) - pi() / 2 * sum(pp), 0)) AS "asinh_JV_PR"
+FROM xpair GROUP BY event_date, root_code""")
+cte("xpanel", """
+SELECT s.*, b."asinh_BV_PR", b."asinh_JV_PR" FROM sstate s LEFT JOIN xbns b ON b.event_date = s.event_date AND b.root_code = s.root_code""")
+battery("mbns", "xpanel", batteries.BIPOWER)
+twin("bipower_models", COEFFICIENTS, "mbnsb")
+
+_TENSION = ("shock_target_10bp", "state_pre_rv_z", "target_x_preRV", "root_gg")
+_FULL = ("shock_target_10bp", "regime_hike", "target_x_hike", "state_pre_rv_z", "target_x_preRV", "state_pre_rsvneg_z", "target_x_preRSVneg",
+         "ma3_target_10bp_z", "target_x_memory", "root_gg")
+_OUTCOMES = ("asinh_BV_PR", "asinh_PR_rv")
+
+
+def dated(panel: str, models: list[tuple[str, str, tuple[str, ...], str]], kept: str) -> str:
+    """Rows (model_name, event_date, root_code, x, y, ...) of models given as (name, outcome, terms, condition)."""
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS model_name, event_date, root_code, {kept}, [1.0, {', '.join(x)}]::DOUBLE[] AS x, {y}::DOUBLE AS y FROM {panel} "
+        f"WHERE {' AND '.join([where] + [f'{c} IS NOT NULL' for c in (y, *x)])}" for name, y, x, where in models)
+
+
+def date_solves(p: str, sums: str) -> None:
+    """Coefficients per (model, date) of sums (model_name, event_date, i, j, v) of cross products."""
+    cte(f"{p}q", f"""
+SELECT model_name, event_date, list(r ORDER BY i) AS g FROM (SELECT model_name, event_date, i, list(v ORDER BY j) AS r FROM {sums} GROUP BY model_name, event_date, i) q
+GROUP BY model_name, event_date""")
+    cte(f"{p}z", f"""
+SELECT model_name, event_date, len(g) - 1 AS k, round(g[1][1])::BIGINT AS n_train_obs, list_transform({swept('g', 'len(g) - 1')}[1:len(g) - 1], lambda r: r[len(g)]) AS beta
+FROM {p}q WHERE round(g[1][1]) > len(g) - 1""")
+
+
+def date_grams(p: str) -> None:
+    cte(f"{p}d", f"""
+SELECT model_name, event_date, i, j, sum(z[i] * z[j]) AS v FROM (SELECT model_name, event_date, list_append(x, y) AS z FROM {p}r) r,
+  unnest(range(1, len(z) + 1)) a(i), unnest(range(1, len(z) + 1)) b(j) GROUP BY model_name, event_date, i, j""")
+
+
+cte("mxfr", dated("xpanel", [(f"{y}|{n}", y, x, "true") for y in _OUTCOMES for n, x in (
+    ("M0_mean", ("shock_target_10bp", "root_gg")), ("M1_tension", _TENSION), ("M2_full", _FULL))], "shock_target_10bp, state_pre_rv_z"))
+date_grams("mxf")
+cte("mxfo", "SELECT model_name, event_date, i, j, sum(v) OVER (PARTITION BY model_name, i, j) - v AS v FROM mxfd")
+date_solves("mxf", "mxfo")
+cte("mxf", """
+SELECT r.event_date, r.root_code, string_split(r.model_name, '|')[1] AS outcome, string_split(r.model_name, '|')[2] AS model_name, r.y AS observed_y,
+  list_dot_product(r.x, z.beta) AS fitted_cf, r.y - list_dot_product(r.x, z.beta) AS residual_cf, r.shock_target_10bp, r.state_pre_rv_z, z.n_train_obs,
+  e.n - 1 AS n_train_events, z.k AS n_parameters, z.k AS rank_x, false AS rank_deficient
+FROM mxfr r JOIN mxfz z ON z.model_name = r.model_name AND z.event_date = r.event_date
+JOIN (SELECT model_name, count(DISTINCT event_date) AS n FROM mxfr GROUP BY model_name) e ON e.model_name = r.model_name""")
+twin("crossfit_residuals", "event_date:s root_code:s outcome:s model_name:s observed_y:f fitted_cf:f residual_cf:f shock_target_10bp:f state_pre_rv_z:f n_train_obs:i "
+     "n_train_events:i n_parameters:i rank_x:i rank_deficient:b", "mxf")
