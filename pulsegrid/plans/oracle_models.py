@@ -8,10 +8,11 @@ coefficients. The t distribution with whole degrees of freedom is a finite sum,
 from __future__ import annotations
 
 from pulsegrid.operators.counterfactual import MONTHS, NORMAL, VALIDATION, WEEKDAYS, conditional_effects, normal_terms
+from pulsegrid.operators.functional import THRESHOLD_EFFECTS
 from pulsegrid.operators.regression import Effect, Model, state_effects
 from pulsegrid.plans import batteries
-from pulsegrid.plans import oracle_sessions  # noqa: F401  (the panels the models read)
 from pulsegrid.plans.oracle import cte, twin
+from pulsegrid.plans.oracle_sessions import midpoint  # the panels the models read come with it
 
 _PIVOT = "p[1][1]::BIGINT"
 
@@ -363,3 +364,168 @@ FROM mxfr r JOIN mxfz z ON z.model_name = r.model_name AND z.event_date = r.even
 JOIN (SELECT model_name, count(DISTINCT event_date) AS n FROM mxfr GROUP BY model_name) e ON e.model_name = r.model_name""")
 twin("crossfit_residuals", "event_date:s root_code:s outcome:s model_name:s observed_y:f fitted_cf:f residual_cf:f shock_target_10bp:f state_pre_rv_z:f n_train_obs:i "
      "n_train_events:i n_parameters:i rank_x:i rank_deficient:b", "mxf")
+
+# ---- collinearity, leverage, stacked models, leave-top-k ------------------------------------------
+
+_COLLINEAR = ("q_target", "pre_state_z", "q_target_x_pre", "regime_hike", "root_gg")
+cte("mcol0", f"SELECT [{', '.join(_COLLINEAR)}]::DOUBLE[] AS v FROM sevent WHERE is_event AND window_eligible AND {' AND '.join(f'{c} IS NOT NULL' for c in _COLLINEAR)}")
+cte("mcol1", """
+SELECT list(r ORDER BY i) AS c FROM (SELECT i, list(v ORDER BY j) AS r FROM (SELECT i, j, corr(v[i], v[j]) AS v FROM mcol0, range(1, 6) a(i), range(1, 6) b(j) GROUP BY i, j) q
+GROUP BY i) u""")
+cte("mcol", f"SELECT c[1][3] AS corr_q_q_x_state, s[1][1] AS vif_q, s[3][3] AS vif_q_x_state FROM (SELECT c, {swept('c', '5')} AS s FROM mcol1) q")
+twin("energy_collinearity", "corr_q_q_x_state:f vif_q:f vif_q_x_state:f", "mcol")
+cte("mlev", f"""
+SELECT cluster AS trade_date, sum(list_dot_product(x, list_transform(range(1, k + 1), lambda i: list_dot_product(s[i][1:k], x)))) AS leverage
+FROM mcfe WHERE model_name = '{batteries.COUNTERFACTUAL[0].name}' GROUP BY cluster""")
+twin("event_leverage", "trade_date:s leverage:f", "mlev")
+
+_ZEROS = "list_transform(range(21), lambda q: 0.0)"
+
+
+def stacked() -> None:
+    """One-stage models: a normal block per root next to the event terms."""
+    rows, models = [], []
+    for name, y, q, root in VALIDATION:
+        event = "is_event::INT::DOUBLE"
+        tail = [f"CASE WHEN is_event THEN {q} ELSE 0.0 END", f"{event} * pre_state_z", f"CASE WHEN is_event THEN {q} * pre_state_z ELSE 0.0 END",
+                "CASE WHEN is_event THEN regime_hike ELSE 0.0 END"]
+        labels = [f"event_{q}", "event_state", f"event_{q}_x_pre", "event_regime_hike"]
+        terms = normal_terms(NORMAL[y][0])
+        if root == "pooled":
+            own = [f"CASE WHEN root_code = '{r}' THEN x ELSE {_ZEROS} END" for r in ("fx", "gg")]
+            x = f"list_concat({own[0]}, list_concat({own[1]}, [{event}, {event} * root_gg, {', '.join(tail)}]))"
+            names = [f"{r}_normal_{t}" for r in ("fx", "gg") for t in terms] + ["event_intercept", "event_root_gg", *labels]
+        else:
+            x = f"list_concat(x, [{event}, {', '.join(tail)}])"
+            names = [f"{root}_normal_{t}" for t in terms] + ["event_intercept", *labels]
+        only = "" if root == "pooled" else f" AND root_code = '{root}'"
+        rows.append(f"SELECT 'STACKED_{name}' AS model_name, trade_date::VARCHAR AS cluster, {x}::DOUBLE[] AS x, y, is_event FROM mstk0 "
+                    f"WHERE outcome = '{y}' AND (NOT is_event OR {q} IS NOT NULL){only}")
+        models.append((f"STACKED_{name}", y, tuple(names)))
+    fits("mst", " UNION ALL ".join(rows), models)
+
+
+cte("mstk0", """
+SELECT r.trade_date, r.root_code, r.outcome, r.x, r.y, e.is_event, e.root_gg, e.pre_state_z, e.regime_hike, e.q_target, e.q_factor FROM snorm r JOIN sevent e
+ON e.trade_date = r.trade_date AND e.root_code = r.root_code WHERE r.y IS NOT NULL AND e.pre_state_z IS NOT NULL""")
+stacked()
+clustered("mst")
+cte("mstev", "SELECT model_name, count(DISTINCT cluster) FILTER (is_event) AS g FROM mstx GROUP BY model_name")
+cte("mstt", f"""
+SELECT df, {critical('df', 0.95)} AS crit FROM (SELECT df FROM mstn UNION SELECT g - 1 FROM mstev) q""")
+cte("mstb0", """
+SELECT f.model_name, f.outcome, f.terms[j] AS term, f.beta[j] AS beta, n.n_clusters, CASE WHEN starts_with(f.terms[j], 'event_') THEN v.g - 1 ELSE n.df END AS df, f.n AS n_obs,
+  f.r2, f.adj_r2, sqrt(n.scale * sum(pow(list_dot_product(c.score, f.s[j][1:f.k]), 2))) AS se
+FROM mstf f JOIN mstc c USING (model_name) JOIN mstn n USING (model_name) JOIN mstev v USING (model_name), unnest(range(1, f.k + 1)) a(j) WHERE v.g >= 30
+GROUP BY f.model_name, f.outcome, f.terms[j], f.beta[j], n.n_clusters, n.df, v.g, n.scale, f.n, f.r2, f.adj_r2""")
+cte("mstb", f"""
+SELECT *, beta / se AS t_stat, 1 - ({inside('beta / se', 'df')}) AS p_value, beta - crit * se AS ci95_lo, beta + crit * se AS ci95_hi FROM mstb0 JOIN mstt USING (df)""")
+twin("stacked_models", COEFFICIENTS, "mstb")
+
+cte("mtop0", " UNION ALL ".join(
+    f"SELECT '{q}' AS q, trade_date, energy, row_number() OVER (ORDER BY energy DESC, trade_date) AS energy_rank, least(10, greatest(count(*) OVER () - 30, 0)) AS most "
+    f"FROM (SELECT trade_date, min_by({q}, root_code) AS energy FROM sevent WHERE is_event AND {q} IS NOT NULL GROUP BY trade_date) u" for q in ("q_target", "q_factor")))
+cte("mtop1", " UNION ALL ".join(
+    f"SELECT '{m.name}' AS base, trade_date, [1.0, {', '.join(m.terms)}]::DOUBLE[] AS x, {m.outcome}::DOUBLE AS y, '{m.terms[0]}' AS q FROM sevent "
+    f"WHERE ({m.where}) AND {' AND '.join(f'{c} IS NOT NULL' for c in (m.outcome, *m.terms))}" for m in batteries.COUNTERFACTUAL))
+fits("mtk", """
+SELECT r.base || '#' || lpad(k::VARCHAR, 2, '0') AS model_name, r.trade_date::VARCHAR AS cluster, r.x, r.y FROM mtop1 r JOIN mtop0 t ON t.trade_date = r.trade_date AND t.q = r.q,
+  unnest(range(0, least(t.energy_rank - 1, t.most) + 1)) u(k)""", [(f"{m.name}#{k:02d}", m.outcome, ("Intercept", *m.terms)) for m in batteries.COUNTERFACTUAL for k in range(11)])
+clustered("mtk")
+tests("mtk")
+wild("mtk", _TESTED + " AND string_split(f.model_name, '#')[2] IN ('00', '01', '02', '03', '05')")
+cte("mtopd", """
+SELECT k, q, string_agg(trade_date::VARCHAR, ';' ORDER BY energy_rank) FILTER (energy_rank <= k) AS removed, max(energy) FILTER (energy_rank <= k) AS largest_removed_energy,
+  max(energy) FILTER (energy_rank = k + 1) AS largest_retained_energy FROM mtop0, range(11) a(k) GROUP BY k, q""")
+cte("mtkall", """
+SELECT string_split(b.model_name, '#')[1] AS model_name, string_split(b.model_name, '#')[2]::INT AS k_removed, b.term, b.beta, b.se, b.t_stat, b.p_value, b.n_obs, b.n_clusters,
+  w.p_wild_cluster, coalesce(d.removed, '') AS removed_dates, d.largest_removed_energy, d.largest_retained_energy
+FROM mtkb b LEFT JOIN mtkw w ON w.model_name = b.model_name AND w.term = b.term
+JOIN mtopd d ON d.k = string_split(b.model_name, '#')[2]::INT AND d.q = CASE WHEN contains(b.term, 'q_factor') THEN 'q_factor' ELSE 'q_target' END
+WHERE starts_with(b.term, 'q_') AND b.n_clusters >= 30""")
+twin("leave_top_k", "model_name:s k_removed:i term:s beta:f se:f t_stat:f p_value:f n_obs:i n_clusters:i p_wild_cluster:f removed_dates:s largest_removed_energy:f "
+     "largest_retained_energy:f", "mtkall")
+
+# ---- thresholds ---------------------------------------------------------------------------------
+
+_PROBS = [round(0.20 + 0.05 * i, 2) for i in range(13)]
+cte("mth0", " UNION ALL ".join(
+    f"SELECT '{n}' AS base, '{y}' AS outcome, event_date, shock_target_10bp AS shock, {q}::DOUBLE AS q, root_gg, {y}::DOUBLE AS y FROM sstate "
+    f"WHERE shock_target_10bp IS NOT NULL AND {q} IS NOT NULL AND {y} IS NOT NULL" for n, y, q in batteries.FUNCTIONAL))
+cte("mth1", "SELECT base, list_sort(list(q)) AS qs FROM (SELECT base, event_date, avg(q) AS q FROM mth0 GROUP BY base, event_date) u GROUP BY base")
+cte("mth2", f"SELECT base, i, c FROM (SELECT base, [{', '.join(midpoint('qs', p) for p in _PROBS)}] AS cs FROM mth1) u, unnest(range(1, 14)) a(i), unnest([cs[i]]) b(c)")
+cte("mth3", "SELECT base, c, row_number() OVER (PARTITION BY base ORDER BY min(i)) - 1 AS cand FROM mth2 GROUP BY base, c")
+cte("mth4", """
+SELECT r.*, t.c, r.base || '#' || lpad(t.cand::VARCHAR, 2, '0') AS model_name, (r.q > t.c)::INT::DOUBLE AS hi FROM mth0 r JOIN mth3 t USING (base)""")
+cte("mth5", """
+SELECT model_name, base, outcome, c, count(*) FILTER (hi = 0) AS n_left, count(*) FILTER (hi = 1) AS n_right FROM mth4 GROUP BY model_name, base, outcome, c
+HAVING least(count(*) FILTER (hi = 0), count(*) FILTER (hi = 1)) >= greatest(10, ceil(count(*) * 0.15))""")
+_THRESHOLD_MODELS = [(f"{n}#{i:02d}", y, ("Intercept", "shock_target_10bp", q, "threshold_hi", "shock_x_threshold_hi", "root_gg")) for n, y, q in batteries.FUNCTIONAL for i in range(13)]
+fits("mthr", "SELECT r.model_name, r.event_date::VARCHAR AS cluster, [1.0, shock, q, hi, shock * hi, root_gg]::DOUBLE[] AS x, r.y FROM mth4 r JOIN mth5 USING (model_name)", _THRESHOLD_MODELS)
+cte("mth6", "SELECT m.* FROM mth5 m JOIN mthrs f USING (model_name) QUALIFY row_number() OVER (PARTITION BY m.base ORDER BY f.s[f.k + 1][f.k + 1], m.model_name) = 1")
+fits("mthb", "SELECT r.* FROM mthrx r JOIN mth6 USING (model_name)", _THRESHOLD_MODELS)
+clustered("mthb")
+tests("mthb")
+effects("mthb", THRESHOLD_EFFECTS)
+cte("mthall", """
+SELECT m.base, m.outcome, m.c AS threshold_c, m.n_left, m.n_right, f.n AS n_obs, n.n_clusters, f.r2, f.adj_r2 FROM mth6 m JOIN mthbf f USING (model_name) JOIN mthbn n USING (model_name)""")
+twin("threshold_search", "base:s outcome:s threshold_c:f n_left:i n_right:i n_obs:i n_clusters:i r2:f adj_r2:f", "mthall")
+twin("threshold_slopes", EFFECTS, "mthbh")
+
+# ---- resampled spectra and placebos -------------------------------------------------------------
+
+_SEED, _DRAWS = 20260717, 999
+
+
+def picked(n: str, *keys: str) -> str:
+    """The same draw as functions.draws.pick, from 1."""
+    return f"('0x' || substr(md5('{_SEED}|' || {' || chr(124) || '.join(keys)}), 1, 12))::BIGINT % {n} + 1"
+
+
+cte("bsp0", "SELECT abnormal_11 AS a, abnormal_12 AS b, abnormal_22 AS c, row_number() OVER (ORDER BY trade_date) AS seq, count(*) OVER () AS n FROM sabn")
+cte("bsp1", f"SELECT d, {picked('n', 'd', 'seq', chr(39) + '1' + chr(39))} AS seq FROM bsp0, range(1, {_DRAWS + 1}) q(d)")
+cte("bsp2", "SELECT d, avg(a) AS a, avg(b) AS b, avg(c) AS c FROM bsp1 JOIN bsp0 USING (seq) GROUP BY d")
+cte("bsp3", """
+SELECT *, (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS lp, (a + c) / 2 - sqrt(pow((a - c) / 2, 2) + b * b) AS lm, cos(atan2(b, (a - c) / 2) / 2) AS x,
+  sin(atan2(b, (a - c) / 2) / 2) AS y FROM bsp2""")
+cte("bsp", """
+SELECT d AS draw, t.a AS "A_fx_fx", t.b AS "A_fx_gg", t.c AS "A_gg_gg", t.lp AS lambda_plus, t.lm AS lambda_minus, t.c - t.a AS rotation_gg_minus_fx,
+  CASE WHEN x * v.px + y * v.py < 0 THEN -x ELSE x END AS vplus_fx, CASE WHEN x * v.px + y * v.py < 0 THEN -y ELSE y END AS vplus_gg,
+  CASE WHEN -y * v.mx + x * v.my < 0 THEN y ELSE -y END AS vminus_fx, CASE WHEN -y * v.mx + x * v.my < 0 THEN -x ELSE x END AS vminus_gg FROM bsp3 t, svec v""")
+twin("bootstrap_spectrum", "draw:i A_fx_fx:f A_fx_gg:f A_gg_gg:f lambda_plus:f lambda_minus:f vplus_fx:f vplus_gg:f vminus_fx:f vminus_gg:f rotation_gg_minus_fx:f", "bsp")
+cte("psp0", """
+SELECT k.event_key, k.match_rank, count(*) OVER e AS n, """ + ", ".join(
+    f"CASE WHEN count(*) OVER e > 1 THEN m.d_{i} - (sum(m.d_{i}) OVER e - m.d_{i}) / (count(*) OVER e - 1) ELSE 0.0 END AS p{i}" for i in ("11", "12", "22")) + """
+FROM sk k JOIN smat m ON m.trade_date = k.control_key WINDOW e AS (PARTITION BY k.event_key)""")
+cte("psp1", f"""
+SELECT event_key, d, {picked('n', 'd', 'event_key')} AS match_rank FROM (SELECT DISTINCT event_key, n FROM psp0) u, range(1, {_DRAWS + 1}) q(d)""")
+cte("psp2", "SELECT d, avg(p11) AS a, avg(p12) AS b, avg(p22) AS c FROM psp1 JOIN psp0 USING (event_key, match_rank) GROUP BY d")
+cte("psp", """
+SELECT d AS draw, (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS lambda_plus, (a + c) / 2 - sqrt(pow((a - c) / 2, 2) + b * b) AS lambda_minus,
+  c - a AS rotation_gg_minus_fx FROM psp2""")
+twin("placebo_spectrum", "draw:i lambda_plus:f lambda_minus:f rotation_gg_minus_fx:f", "psp")
+
+cte("mpl0", """
+SELECT m.trade_date, m.root_code, m.outcome, m.k AS match_rank, count(*) OVER e AS n, m.cy - (sum(m.cy) OVER e - m.cy) / (count(*) OVER e - 1) AS pseudo, c.pre_state_z AS state
+FROM smr2 m JOIN smr0 c ON c.trade_date = m.cd AND c.root_code = m.root_code AND c.outcome = m.outcome WHERE m.k <= 10
+WINDOW e AS (PARTITION BY m.trade_date, m.root_code, m.outcome)""")
+cte("mpl1", f"""
+SELECT trade_date, root_code, outcome, d, {picked('n', 'd', 'trade_date', 'root_code', 'outcome')} AS match_rank FROM (SELECT DISTINCT trade_date, root_code, outcome, n FROM mpl0) u,
+  range(1, {_DRAWS + 1}) q(d)""")
+cte("mpl2", """
+SELECT a.d, p.*, e.q_target, e.q_factor, e.regime_hike, e.root_gg FROM mpl1 a JOIN mpl0 p USING (trade_date, root_code, outcome, match_rank)
+JOIN sevent e ON e.trade_date = p.trade_date AND e.root_code = p.root_code WHERE e.is_event AND e.window_eligible""")
+fits("mpl", " UNION ALL ".join(
+    f"SELECT '{name}#' || d AS model_name, '' AS cluster, [1.0, {q}, state, {q} * state, regime_hike{', root_gg' if root == 'pooled' else ''}]::DOUBLE[] AS x, pseudo AS y FROM mpl2 "
+    f"WHERE outcome = '{y}' AND {q} IS NOT NULL AND regime_hike IS NOT NULL AND state IS NOT NULL AND pseudo IS NOT NULL" + ("" if root == "pooled" else f" AND root_code = '{root}'")
+    for name, y, q, root in VALIDATION), [("none", "none", ("none",))])
+cte("mpl4", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{q}', 2), ('{n}', '{q}_x_pre', 4)" for n, _, q, _ in VALIDATION) + ") v(spec, term, j)")
+cte("mpl5", """
+SELECT t.spec, t.term, s.s[t.j][s.k + 1] AS beta, o.beta AS observed_beta FROM mpls s JOIN mpl4 t ON string_split(s.model_name, '#')[1] = t.spec
+JOIN mmtb o ON o.model_name = 'MATCHED_' || t.spec AND o.term = t.term WHERE s.n >= s.k""")
+cte("mpl6", """
+SELECT spec, term, max(observed_beta) AS observed_beta, avg(beta) AS placebo_mean, stddev_samp(beta) AS placebo_sd,
+  (1 + count(*) FILTER (WHERE abs(beta) >= abs(observed_beta))) / (1.0 + count(*)) AS p_placebo_two_sided, count(*) AS n_usable, list_sort(list(beta)) AS bs
+FROM mpl5 GROUP BY spec, term""")
+cte("mplall", f"SELECT * EXCLUDE (bs), {midpoint('bs', 0.025)} AS placebo_ci95_lo, {midpoint('bs', 0.975)} AS placebo_ci95_hi FROM mpl6")
+twin("matched_placebos", "spec:s term:s observed_beta:f placebo_mean:f placebo_sd:f p_placebo_two_sided:f n_usable:i placebo_ci95_lo:f placebo_ci95_hi:f", "mplall")
