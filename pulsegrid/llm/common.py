@@ -47,3 +47,18 @@ def crc_bucket(name: str, modulus: int) -> Column:
 def root_bits(rows: int) -> int:
     """Bits of a bucket number so that bucket count and bucket size both follow the square root of the rows."""
     return max(0, math.ceil(math.log2(max(rows, 1)) / 2))
+
+
+#: A key with more than one in so many rows is joined where its rows are; there are fewer such keys than this.
+MOST_OFTEN = 1000
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """The rows whose key has facts, with them. ``facts`` has one row per key, and ``often``: how many of the ``total`` rows may
+    hold it. Keys held often are broadcast, at most ``MOST_OFTEN`` of them; the rows of the others meet by key, a thousandth
+    of all at most in one place."""
+    hot = F.col("often") * MOST_OFTEN > total
+    few = F.broadcast(facts.where(hot).drop("often").withColumn("_hot", F.lit(True)))
+    marked = rows.join(few, key, "left")
+    rest = marked.where(F.col("_hot").isNull()).select(*rows.columns).join(facts.where(~hot).drop("often"), key)
+    return marked.where(F.col("_hot")).drop("_hot").unionByName(rest)

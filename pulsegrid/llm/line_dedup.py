@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pulsegrid.llm.common import LAST_ID, WHITE, ascii_lower, digest, documents, whole_text
+from pulsegrid.llm.common import LAST_ID, WHITE, ascii_lower, digest, documents, join_facts, whole_text
 from pulsegrid.session import durable
 
 
@@ -36,20 +36,20 @@ def hashed_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
 
 
 def shared_lines(lines: DataFrame, min_docs: int) -> DataFrame:
-    """Hashes that at least ``min_docs`` documents hold, with the first of these. The first distinct is dealt by
-    (line, doc), so a line of every document is counted in many tasks before its counts meet."""
+    """Hashes that at least ``min_docs`` documents hold, with the first of these and how often they occur. The first count is
+    dealt by (line, doc), so a line of every document is counted in many tasks before its counts meet."""
     return (
-        lines.select("line", "doc").distinct()
-        .groupBy("line").agg(F.count(F.lit(1)).alias("holders"), F.min("doc").alias("keeper"))
-        .where(F.col("holders") >= min_docs)
+        lines.groupBy("line", "doc").agg(F.count(F.lit(1)).alias("times"))
+        .groupBy("line").agg(F.count(F.lit(1)).alias("holders"), F.min("doc").alias("keeper"), F.sum("times").alias("often"))
+        .where(F.col("holders") >= min_docs).drop("holders")
     )
 
 
 def dropped_positions(lines: DataFrame, min_docs: int) -> DataFrame:
-    return (
-        lines.join(shared_lines(lines, min_docs), "line").where(F.col("doc") > F.col("keeper"))
-        .groupBy("doc", "version").agg(F.collect_set("pos").alias("dropped"))
-    )
+    """(doc, version, dropped): positions of shared lines in other documents than their first."""
+    shared = durable(shared_lines(lines, min_docs))
+    marked = join_facts(lines, shared, "line", lines.count())
+    return marked.where(F.col("doc") > F.col("keeper")).groupBy("doc", "version").agg(F.collect_set("pos").alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
