@@ -164,10 +164,11 @@ def ordered_prefixes(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def pair_signatures(lists: DataFrame) -> DataFrame:
-    """(list, sig, low, high, members) of every combination of two tokens of each distinct list of frequent tokens."""
+    """(list, sig, at, low, high, members) of every combination of two tokens of each distinct list of frequent tokens; ``at`` is
+    the place of the second."""
     numbered = lists.where(F.size("frequent") > 1).select("*", F.posexplode("frequent").alias("i", "first"))
-    return numbered.select("list", "low", "high", "members", "first", F.explode(F.slice("frequent", F.col("i") + 2, F.size("frequent"))).alias("second")).select(
-        "list", "low", "high", "members", F.xxhash64(F.lit(2), F.least("first", "second"), F.greatest("first", "second")).alias("sig"))
+    return numbered.select("list", "low", "high", "members", "first", "i", F.posexplode(F.slice("frequent", F.col("i") + 2, F.size("frequent"))).alias("j", "second")).select(
+        "list", "low", "high", "members", (F.col("i") + 1 + F.col("j")).alias("at"), F.xxhash64(F.lit(2), F.least("first", "second"), F.greatest("first", "second")).alias("sig"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -211,14 +212,29 @@ def open_signatures(signed: DataFrame) -> DataFrame:
         F.col("low") < F.col("high")).select("sig", "members")
 
 
-def cross_pairs(members: DataFrame) -> DataFrame:
-    """(a, b) in different components within signatures of few members. Signatures with the same members, as those
-    of tokens that go together, count once."""
-    groups = members.groupBy("sig").agg(F.sort_array(F.collect_set(F.struct("doc", "component"))).alias("group")).select("group").distinct()
-    first = groups.select("group", F.posexplode("group").alias("i", "x"))
-    return first.select("x", F.explode(F.filter(
-        F.slice("group", F.col("i") + 2, F.size("group")), lambda y: y["component"] != F.col("x.component"))).alias("y")).select(
-        F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) in different components within signatures of few members, of (sig, doc, component, n, rest).
+
+    ``rest`` is the most a set can have in common with another of the signature, when the signature's tokens are the first
+    they share: these and what follows them in the common order. A similar pair passes this bound where its first shared
+    tokens meet, so it is tried there and nearly nowhere else. Signatures with the same members, as those of tokens
+    that go together, count once, with the earliest. What a set is to be verified against is gathered as one list before pairs
+    become rows, so a pair is one row however many signatures it shares.
+    """
+    member = F.struct("doc", "component", "n", "rest")
+    groups = members.groupBy("sig").agg(F.sort_array(F.collect_list(member)).alias("group"), F.sum("rest").alias("rest"))
+    once = groups.groupBy(F.transform("group", lambda m: m["doc"]).alias("docs")).agg(F.max_by("group", "rest").alias("group"))
+    first = once.select("group", F.posexplode("group").alias("i", "x"))
+
+    def may_match(y: Column) -> Column:
+        n, other = F.col("x.n"), y["n"]
+        alike = 100 * F.least(n, other) >= percent * F.greatest(n, other)
+        return (y["component"] != F.col("x.component")) & alike & ((100 + percent) * F.least(F.col("x.rest"), y["rest"]) >= percent * (n + other))
+
+    met = F.transform(F.filter(F.slice("group", F.col("i") + 2, F.size("group")), may_match), lambda y: y["doc"])
+    lists = first.select(F.col("x.doc").alias("a"), met.alias("met")).where(F.size("met") > 0).groupBy("a").agg(
+        F.array_distinct(F.flatten(F.collect_list("met"))).alias("met"))
+    return lists.select("a", F.explode("met").alias("b"))
 
 
 def block_links(hot: DataFrame, listed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -266,25 +282,28 @@ def join_ngrams(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_
     sets = durable(shared.join(classes, "key").where(F.col("doc") == F.col("first")).dropDuplicates(["key"])
                    .select(F.col("key").alias("doc"), "tokens"))
     prefixes = durable(ordered_prefixes(sets, percent))
-    rare = prefixes.select("doc", "own", F.explode("rare").alias("sig"))
+    rare = prefixes.select("doc", "own", "n", F.posexplode("rare").alias("at", "sig"))
     # Any one frequent token leads to the centre; combinations follow for what is still apart.
     single = prefixes.select("doc", "own", F.explode("frequent").alias("sig"))
-    links = durable(verified(central_pairs(rare.unionByName(single)), sets, percent))
+    links = durable(verified(central_pairs(rare.select("doc", "own", "sig").unionByName(single)), sets, percent))
     labels = components(links)
-    rare = durable(placed(rare.select("sig", "doc"), labels))
+    # The first token two sets share, and what follows it in either.
+    rare = durable(placed(rare.select("sig", "doc", "n", (F.col("n") - F.col("own") - F.col("at")).alias("rest")), labels))
     per_doc = [F.col("component").alias("low"), F.col("component").alias("high"), F.lit(1).alias("members")]
-    open_rare = rare.join(open_signatures(rare.select("sig", *per_doc)), "sig").select("sig", "doc", "component")
-    frequent = placed(prefixes.where(F.size("frequent") > 1).select("doc", "frequent"), labels)
+    open_rare = rare.join(open_signatures(rare.select("sig", *per_doc)), "sig").select("sig", "doc", "component", "n", "rest")
+    frequent = placed(prefixes.where(F.size("frequent") > 1).select("doc", "frequent", "n", (F.col("own") + F.size("rare")).alias("before")), labels)
     single = frequent.select("component", "doc", F.explode("frequent").alias("sig"))
     apart = single.join(open_signatures(single.select("sig", *per_doc)), "sig", "left_semi").select("doc").distinct()
     # Documents with equal lists of frequent tokens have the same combinations: these are formed once per list.
-    listed = durable(frequent.join(apart, "doc", "left_semi").select(F.xxhash64("frequent").alias("list"), "frequent", "doc", "component"))
+    listed = durable(frequent.join(apart, "doc", "left_semi").select(F.xxhash64("frequent").alias("list"), "frequent", "doc", "component", "n", "before"))
     lists = listed.groupBy("list", "frequent").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
     combined = pair_signatures(lists)
-    sized = durable(combined.select("sig", "list").join(open_signatures(combined), "sig"))
-    few = sized.where(F.col("members") <= HOT).join(listed.select("list", "doc", "component"), "list").select("sig", "doc", "component")
+    sized = durable(combined.select("sig", "list", "at").join(open_signatures(combined), "sig"))
+    # Two tokens shared, the second at its place, and what follows it.
+    rest = F.col("n") - F.col("before") - F.col("at") + 1
+    few = sized.where(F.col("members") <= HOT).join(listed.drop("frequent"), "list").select("sig", "doc", "component", "n", rest.alias("rest"))
     hot = durable(sized.where(F.col("members") > HOT).select("sig", "list"))
-    more = verified(cross_pairs(open_rare.unionByName(few)), sets, percent)
+    more = verified(cross_pairs(open_rare.unionByName(few), percent), sets, percent)
     if not hot.isEmpty():
         more = more.unionByName(block_links(hot, listed.select("list", "doc", "component"), sets, percent))
     more = durable(more)
