@@ -36,11 +36,15 @@ LENGTH_BANDS = 16
 JUDGED_BAND = 7
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _LETTERS_ONLY = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 _SPACES = re.compile(rb" +")
 
 
+def has_letter(text: str) -> bool:
+    """Number signs, like fractions and numerals of one character, are no letters."""
+    return any(map(str.isalpha, text))
+
+
 def gram_counts(text: str) -> np.ndarray:
     """Counts of hashed n-grams of letters; words are set off by one space."""
     letters = _SPACES.sub(b" ", b" " + text.lower().encode("utf-8", "replace").translate(_LETTERS_ONLY) + b" ")
@@ -72,8 +76,12 @@ class Centroids:
     languages: list[str]
     floors: np.ndarray  # lowest training cosine by length band
 
+    def plain(self) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+        """What executors get: arrays, which need no class of this package to be read."""
+        return self.idf, self.matrix, self.languages, self.floors
+
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        if not text or not _LETTER.search(text):
+        if not text or not has_letter(text):
             return UNKNOWN, 0.0, True
         if not self.languages:
             return UNKNOWN, 0.0, False
@@ -107,7 +115,7 @@ def training_rows(docs: DataFrame, eligible: Column, per_language: int) -> DataF
 
 def fit(docs: DataFrame, eligible: Column, per_language: int = PER_LANGUAGE) -> Centroids:
     def vectors(batch):
-        keep = [(lang, gram_counts(text)) for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()) if _LETTER.search(text)]
+        keep = [(lang, gram_counts(text)) for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()) if has_letter(text)]
         cells = [np.flatnonzero(c) for _, c in keep]
         return {"lang": [lang for lang, _ in keep], "cells": [c.astype(np.int32).tobytes() for c in cells],
                 "counts": [c[at].astype(np.int32).tobytes() for (_, c), at in zip(keep, cells)]}
@@ -140,10 +148,11 @@ def fit(docs: DataFrame, eligible: Column, per_language: int = PER_LANGUAGE) ->
 
 def predict(docs: DataFrame, model: Centroids) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.plain())
 
     def each(batch):
-        found = [shared.value.predict(t) for t in batch["text"].to_pylist()]
+        own = Centroids(*shared.value)
+        found = [own.predict(t) for t in batch["text"].to_pylist()]
         return {"doc_id": batch["doc_id"], "lang_pred": [f[0] for f in found], "score": [f[1] for f in found], "rejected": [f[2] for f in found]}
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), each, "doc_id long, lang_pred string, score double, rejected boolean")
@@ -151,11 +160,12 @@ def predict(docs: DataFrame, model: Centroids) -> DataFrame:
 
 def rejects(spark: SparkSession, model: Centroids):
     """A function of a text column: whether the model rejects the text."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model.plain())
 
     @F.pandas_udf("boolean")
     def rejected(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.predict(t)[2] for t in texts], dtype=bool)
+        own = Centroids(*shared.value)
+        return pd.Series([own.predict(t)[2] for t in texts], dtype=bool)
 
     return rejected
 
