@@ -16,7 +16,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -166,10 +166,11 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
     pieces = durable(token_pieces(docs, path or tokenizer_path(), window, end_id))
     # At most ``window`` rows.
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = pieces.sparkSession.sparkContext.broadcast(minimum_slack_plan(histogram, window))
+    # Plain arrays, which executors read without a class of this package.
+    plan = pieces.sparkSession.sparkContext.broadcast({n: astuple(p) for n, p in minimum_slack_plan(histogram, window).items()})
 
     def each(batch):
-        sequence, offset = place(plan.value, batch["length"].to_numpy(), batch["rank"].to_numpy())
+        sequence, offset = place({n: Places(*p) for n, p in plan.value.items()}, batch["length"].to_numpy(), batch["rank"].to_numpy())
         kept = {n: batch[n] for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
         return kept | {"sequence_id": sequence, "offset": offset}
 
