@@ -6,13 +6,16 @@ draw. Draw 0 is the sample itself with unit weights, so estimate and bootstrap a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from pulsegrid.functions import packed, scalars as S
+from pulsegrid.functions.frames import dot
 from pulsegrid.functions.quantiles import grouped_quantiles
 from pulsegrid.operators import matching
-from pulsegrid.operators.regression import no_nan
 from pulsegrid.operators.resampling import unit_weights
 from pulsegrid.operators.spectrum import (
     INTERVALS,
@@ -91,46 +94,64 @@ def standardised(rows: DataFrame) -> DataFrame:
     ).select(*rows.columns, "z", "year_z")
 
 
-def _cross_fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Ridge predictions of the three outcomes from controls of other years, and their plain means."""
-    pdf = pdf.sort_values("source_id", kind="stable")
-    z, y = np.vstack(pdf["design"]), pdf[list(OUTCOMES)].to_numpy(float)
-    year, w = pdf["year_number"].to_numpy(), np.where(pdf["is_event"], 0.0, pdf["w"].to_numpy(float))
-    gram = {v: (z[year == v] * w[year == v, None]).T @ np.hstack([z[year == v], y[year == v]]) for v in np.unique(year)}
-    total, p = sum(gram.values()), z.shape[1]
-    linear, base = np.empty_like(y), np.empty_like(y)
-    for v, own in gram.items():
-        g = total - own
-        g = g if g[0, 0] >= p + 10 else total
-        penalty = RIDGE_SCALE * max(np.trace(g[:, :p]) / p, 1.0) * np.eye(p)
-        penalty[0, 0] = 0.0
-        h = g[:, :p] + penalty
-        ok = np.linalg.cond(h, 1) < 1e12
-        beta = np.linalg.solve(h, g[:, p:]) if ok else np.linalg.pinv(h) @ g[:, p:]
-        linear[year == v] = z[year == v] @ beta
-        base[year == v] = g[0, p:] / g[0, 0]
-    out = pdf[[*KEYS, "source_id", "is_event"]].copy()
-    for i, name in enumerate(OUTCOMES):
-        out[f"lin_{name}"], out[f"base_{name}"] = linear[:, i], base[:, i]
-    return out
+_RIDGE = "lin array<double>, base array<double>"
+
+
+def _ridge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Ridge coefficients of the three outcomes, one after the other, and their means, of packed cross products."""
+    q = len(OUTCOMES)
+    for pdf in parts:
+        if len(pdf):
+            g = packed.unpacked(np.vstack(pdf["g"]))
+            p = g.shape[1] - q
+            size = np.maximum(np.einsum("nii->n", g[:, :p, :p]) / p, 1.0)
+            penalty = np.eye(p)
+            penalty[0, 0] = 0.0  # the intercept is free
+            h, xy = g[:, :p, :p] + RIDGE_SCALE * size[:, None, None] * penalty, g[:, :p, p:]
+            ok = np.linalg.cond(h, 1) < 1e12
+            beta = np.empty(xy.shape)
+            beta[ok] = np.linalg.solve(h[ok], xy[ok])
+            for i in np.flatnonzero(~ok):
+                beta[i] = np.linalg.pinv(h[i]) @ xy[i]
+            with np.errstate(invalid="ignore"):
+                base = xy[:, 0, :] / g[:, :1, 0]
+            yield pdf.drop(columns="g").assign(lin=list(beta.transpose(0, 2, 1).reshape(len(pdf), -1)), base=list(base))
+
+
+def cross_fit(rows: DataFrame) -> DataFrame:
+    """Rows with ridge predictions lin_* and plain means base_* of the outcomes, from the controls of all other years.
+
+    A control's cross products are added up per (scenario, draw, year), and a year's own are taken from the total before its
+    solve, so rows are never gathered. A year whose rest is too small is fitted on all controls.
+    """
+    size = F.size("design")
+    vector = F.concat("design", F.array(*OUTCOMES))
+    control = rows.where("NOT is_event").select(*KEYS, "year_number", packed.products(vector, F.col("w").cast("double")).alias("g"))
+    per_year = durable(packed.summed(control, [*KEYS, "year_number"], "g"))
+    total = packed.summed(per_year, KEYS, "g").withColumnRenamed("g", "total")
+    years = rows.groupBy(*KEYS, "year_number").agg(F.first(size).alias("p"))
+    rest = F.zip_with("total", "g", lambda x, y: x - F.coalesce(y, F.lit(0.0)))
+    others = years.join(per_year, [*KEYS, "year_number"], "left").join(total, KEYS)
+    taken = F.when(F.col("g").isNull(), F.col("total")).when(F.get(rest, F.lit(0)) >= F.col("p") + 10, rest).otherwise(F.col("total"))
+    names = [*KEYS, "year_number"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in years.select(*names).schema) + ", " + _RIDGE
+    fitted = others.select(*names, taken.alias("g")).mapInPandas(_ridge, schema)
+    both = rows.join(fitted, names, "left")
+    found = {}
+    for i, c in enumerate(OUTCOMES):
+        found[f"lin_{c}"] = S.known(dot(F.col("design"), F.slice("lin", i * size + 1, size)))
+        found[f"base_{c}"] = S.known(F.get("base", F.lit(i)))
+    return both.withColumns(found).drop("lin", "base")
 
 
 def continuation(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with predictions mu_* and residuals e_*, diagnostics per outcome).
 
-    The cross-fit runs per (scenario, draw); a group has one row per date. The linear part is shrunk to
-    the plain mean by the weight that predicts controls best, kept inside [0, 1].
+    The linear part is shrunk to the plain mean by the weight that predicts controls best, kept inside [0, 1].
     """
     weekday = [(F.col("weekday_number") == d).cast("double") for d in (3, 4, 5, 6)]
     design = F.concat(F.array(F.lit(1.0)), "z", F.array(F.col("clock_late"), *weekday, F.col("year_z"), F.col("year_z") * F.col("year_z")))
-    fitted = rows.withColumn("design", design).select(
-        *KEYS, "source_id", "is_event", "year_number", "w", *OUTCOMES, "design"
-    ).groupBy(*KEYS).applyInPandas(
-        _cross_fit,
-        "scenario string, draw int, source_id int, is_event boolean, "
-        + ", ".join(f"lin_{c} double, base_{c} double" for c in OUTCOMES),
-    )
-    both = rows.join(no_nan(fitted), [*KEYS, "source_id", "is_event"])
+    both = cross_fit(rows.withColumn("design", design)).drop("design")
     w = F.when(~F.col("is_event"), F.col("w"))
     delta = lambda c: F.col(f"lin_{c}") - F.col(f"base_{c}")
     aggs = []

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import draws, packed
-from pulsegrid.operators import resampling
+from pulsegrid.operators import resampling, resolution
 
 SPECS = (("POOLED", "log_BV_post", "q_target", "pooled"), ("FX", "jump_share_post", "q_factor", "fx"), ("GG", "log_BV_post", "q_target", "gg"))
 
@@ -107,3 +107,24 @@ def test_signs_and_picks_are_those_of_md5(spark):
     for r in rows:
         assert r.s == (1.0 if hashlib.md5(f"7|{r.id}|2020-01-02".encode()).hexdigest() < "8" else -1.0)
         assert r.p == int(hashlib.md5(f"7|{r.id}".encode()).hexdigest()[:12], 16) % 10
+
+
+def test_leave_year_out_ridge_matches_refits(spark):
+    """Predictions of every row from a ridge fit to the controls of other years, one refit per year."""
+    rng = np.random.default_rng(8)
+    rows = [("full", d, i, i % 5 == 0, 2000 + (i * 7 // 90 if i < 85 else 9), int(rng.integers(0, 3)) if d else 1, [1.0, *rng.normal(size=3).tolist(), 0.0], *rng.normal(size=3).tolist())
+            for d in range(3) for i in range(90)]
+    names = "scenario string, draw int, source_id int, is_event boolean, year_number int, w long, design array<double>, d_11 double, d_12 double, d_22 double"
+    got = resolution.cross_fit(spark.createDataFrame(rows, names)).toPandas()
+    assert len(got) == len(rows)
+    for _, g in got.groupby("draw"):
+        z, y, w = np.vstack(g["design"]), g[list(resolution.OUTCOMES)].to_numpy(), np.where(g["is_event"], 0.0, g["w"])
+        for year in g["year_number"].unique():
+            train, own = w * (g["year_number"] != year), (g["year_number"] == year).to_numpy()
+            train = train if train.sum() >= z.shape[1] + 10 else w
+            h = z.T @ (z * np.asarray(train)[:, None])
+            penalty = np.eye(5) * resolution.RIDGE_SCALE * max(np.trace(h) / 5, 1.0)
+            penalty[0, 0] = 0
+            beta = np.linalg.solve(h + penalty, z.T @ (y * np.asarray(train)[:, None]))
+            assert np.allclose(g.loc[own, [f"lin_{c}" for c in resolution.OUTCOMES]], z[own] @ beta, atol=1e-8)
+            assert np.allclose(g.loc[own, [f"base_{c}" for c in resolution.OUTCOMES]], np.average(y, axis=0, weights=train))
