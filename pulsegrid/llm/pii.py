@@ -1,17 +1,17 @@
 """Finds personal data: fixed rules give the base spans, boosted trees select further ones. Only DataFrame functions.
 
 Generators with high recall propose spans that overlap each other and the base. Every candidate becomes a cell of
-small features of its format and of what stands around it. Candidates that overlap a base span are the positive
-examples; gradient-boosted trees are fitted on the counts per cell, over all documents, and become a column
-expression. The threshold is calibrated to the precision wanted on the same counts. Candidates above it that touch no
-base span are added: they look as the base spans do, in form and context, though they miss a rule. Base spans always
-stay.
+small features of its format and of what stands around it. Positive examples are the candidates that overlap a base span, and those
+that pass their kind's own check once normalised: an address with (at) and (dot) written out, four octets, a card number or
+9 to 15 digits, the last three next to a word for their kind. Gradient-boosted trees are fitted on the counts per
+cell, over all documents, and become a column expression. The threshold of each kind is calibrated to the precision wanted on
+the same counts. Candidates above it that touch no base span are added, whatever their share. Base spans always stay.
 
 Positions come from splitting a text at the matches: gap and match lengths, summed up in order. Patterns are
 possessive and start at the start of a run, so that they take time in proportion to the text.
 
-Defined cases: a null text is empty; null ids and repeated rows are documents of their own. Without any base span
-nothing is added. An empty table gives an empty result. Columns besides the id and the text are not read.
+Defined cases: a null text is empty; null ids and repeated rows are documents of their own. Without positive examples of a
+kind nothing of it is added. An empty table gives an empty result. Columns besides the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -44,7 +44,14 @@ LOOSE = {
 }
 _OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 CONTEXT = 16
-#: Trees, their learning rate, and the share of base spans among what the threshold lets through.
+#: Words before a match that name its kind.
+WORDS = {
+    "email": "(?i)mail|contact|write|addr",
+    "ip": r"(?i)\bip\b|ipv4|addr|host|server",
+    "card": "(?i)card|visa|master|credit|pay",
+    "phone": r"(?i)phone|\btel|call|fax|mobil|cell|[+][0-9]",
+}
+#: Trees, their learning rate, and the share of positive examples among what the threshold lets through.
 TREES = 24
 RATE = 0.4
 PRECISION = 0.98
@@ -118,23 +125,41 @@ def _class(character: Column) -> Column:
             .when(character.rlike("^[0-9]"), 2).when(character == "+", 3).otherwise(4))
 
 
+def by_kind(kind: Column, choices: dict[str, Column]) -> Column:
+    out = F.lit(None)
+    for number, name in enumerate(KINDS):
+        out = F.when(kind == number, choices[name]).otherwise(out)
+    return out
+
+
 #: Features of a cell, each a small number: at most 4 * 7 * 2 * 2 * 5 * 5 * 4 * 2 cells reach the driver.
 def cells(found: DataFrame) -> DataFrame:
     text, digits = F.col("found"), digits_of(F.col("found"))
-    count = F.char_length(digits)
+    count, kind = F.char_length(digits), F.col("rule") - 4
+    # With (at) and (dot) written as signs the generator's form is an address, but for spaces around a sign.
+    address = ~F.contains(text, F.lit(" @")) & ~F.contains(text, F.lit("@ "))
+    dotted = F.regexp_replace(text, "[,:-]", ".")
+    form = by_kind(kind, {
+        "email": address, "ip": dotted.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"),
+        "card": F.coalesce(passes_luhn(digits), F.lit(False)), "phone": count.between(9, 15)})
     return found.where(F.col("rule") >= 4).withColumns({
-        "f_kind": F.col("rule") - 4,
+        "f_kind": kind,
         "f_digits": sum(((count >= n).cast("int") for n in (1, 9, 11, 13, 16, 17)), F.lit(0)),
         "f_luhn": F.coalesce(passes_luhn(digits), F.lit(False)).cast("int"),
-        "f_octets": text.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$").cast("int"),
+        "f_form": form.cast("int"),
         "f_left": _class(F.right("left", F.lit(1))),
         "f_right": _class(F.col("right")),
         "f_marks": sum((F.contains(text, F.lit(mark)).cast("int") for mark in ("-", " ", "(")), F.lit(0)),
-        "f_word": F.col("left").rlike("(?i)mail|phone|tel|call|fax|card|visa|addr|[+][0-9]").cast("int"),
+        "f_word": by_kind(kind, {name: F.col("left").rlike(words) for name, words in WORDS.items()}).cast("int"),
     })
 
 
-FEATURES = ("f_kind", "f_digits", "f_luhn", "f_octets", "f_left", "f_right", "f_marks", "f_word")
+FEATURES = ("f_kind", "f_digits", "f_luhn", "f_form", "f_left", "f_right", "f_marks", "f_word")
+
+
+def is_positive() -> Column:
+    """A written address needs no word beside it; numbers do, as many numbers pass a check by chance."""
+    return F.col("overlaps") | ((F.col("f_form") == 1) & ((F.col("f_kind") == 0) | (F.col("f_word") == 1)))
 
 
 def with_overlap(candidates: DataFrame, base: DataFrame) -> DataFrame:
@@ -199,27 +224,37 @@ def boost(counts: list[Cell], depth: int = 3) -> list[Split | float]:
 
 
 def calibrated(counts: list[Cell], trees: list[Split | float], precision: float) -> float:
-    """The lowest score above which the share of positives is still ``precision``; infinite if none is."""
-    scored = sorted(((sum(t.value(x) if isinstance(t, Split) else t for t in trees), n, pos) for x, n, pos in counts), reverse=True)
+    """The lowest score above which the share of positives is still ``precision``, and at least half at every score; infinite if
+    none is."""
+    levels: dict[float, list[float]] = {}
+    for x, n, pos in counts:
+        level = levels.setdefault(sum(t.value(x) if isinstance(t, Split) else t for t in trees), [0.0, 0.0])
+        level[0], level[1] = level[0] + n, level[1] + pos
     best, seen, hits = math.inf, 0.0, 0.0
-    for i, (score, n, pos) in enumerate(scored):
+    for score, (n, pos) in sorted(levels.items(), reverse=True):
         seen, hits = seen + n, hits + pos
-        if hits >= precision * seen and (i + 1 == len(scored) or scored[i + 1][0] < score):
+        if pos < n / 2:
+            break
+        if seen and hits >= precision * seen:
             best = score
     return best
 
 
 def selected(candidates: DataFrame, precision: float) -> DataFrame:
     """The candidates to add: off the base spans, above the calibrated threshold, the leftmost of those that overlap."""
-    counted = candidates.groupBy(*FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("overlaps").cast("int")).alias("hits")).collect()
+    off = ~F.col("overlaps")
+    counted = candidates.groupBy(*FEATURES).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(is_positive()).alias("hits"), F.count_if(off).alias("off"), F.count_if(off & is_positive()).alias("off_hits")).collect()
     counts = sorted((tuple(r[f] for f in FEATURES), float(r.n), float(r.hits)) for r in counted)
+    # What may be added lies off the base spans, so the thresholds are calibrated there.
+    open_counts = sorted((tuple(r[f] for f in FEATURES), float(r.off), float(r.off_hits)) for r in counted if r.off)
     if not any(pos for _, _, pos in counts):
         return candidates.where(F.lit(False))
     trees = boost(counts)
-    least = calibrated(counts, trees, precision)
+    least = {name: F.lit(calibrated([c for c in open_counts if c[0][0] == number], trees, precision) - 1e-9) for number, name in enumerate(KINDS)}
     score = sum((t.column() if isinstance(t, Split) else F.lit(t) for t in trees), F.lit(0.0))
-    # The sum in the plan may differ from the driver's in the last bits.
-    added = candidates.where(~F.col("overlaps") & (score >= F.lit(least - 1e-9)))
+    # The sum in the plan may differ from the driver's in the last bits, hence the small allowance.
+    added = candidates.where(~F.col("overlaps") & (score >= by_kind(F.col("f_kind"), least)))
     before = W.partitionBy("row").orderBy("start", F.col("end").desc(), "rule").rowsBetween(W.unboundedPreceding, -1)
     return added.withColumn("reach", F.max("end").over(before)).where(F.col("reach").isNull() | (F.col("reach") <= F.col("start"))).drop("reach")
 

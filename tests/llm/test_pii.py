@@ -82,11 +82,26 @@ def test_table(spark, tmp_path, folder):
     assert sum(r.n_added for r in found) <= 0.05 * sum(r.n_email + r.n_ip + r.n_card + r.n_phone for r in found)
 
 
-def test_added_spans_look_like_base_ones(spark, tmp_path):
-    rows = [(i, f"call +1 ({200 + i}) 555-{1000 + i} now") for i in range(90)] + [(100 + i, "no data here, 12 34") for i in range(50)]
-    rows += [(200, "call  1 (299) 555-4242 now"), (201, "phone (212) 555-4242 now")]
+@pytest.mark.parametrize("loose", [2, 20, 100])
+def test_loose_forms_are_added_at_any_share(spark, tmp_path, loose):
+    """Written-out addresses and phone numbers without a plus next to a word for them; base spans and plain numbers beside."""
+    rows = [(i, f"mail me at user{i}@host{i % 7}.org now") for i in range(100)] + [(100 + i, f"call +1 ({200 + i}) 555-{1000 + i} now") for i in range(100)]
+    rows += [(200 + i, f"order 12 of 345, lot {i} 17:04, see page 555 in 20{i:02}") for i in range(60)]
+    rows += [(1000 + i, f"write to user{i} (at) host{i % 5} (dot) org today") for i in range(loose)]
+    rows += [(2000 + i, f"my phone {210 + i} 555-{2000 + i} at home") for i in range(loose)]
+    rows += [(3000, "items 1,2,3,4 and 10:20:30:40"), (3001, "ref 212 555-1234 x"), (3002, None)]
     found = {r.doc_id: r for r in same(spark, rows, tmp_path)}
-    assert found[1].n_phone == 1 and found[1].n_added == 0 and found[100].spans == ""
+    for i in range(loose):
+        text = dict(rows)[1000 + i]
+        start, end = text.index("user"), text.index("org") + 3
+        assert found[1000 + i].spans == f"email:{start}:{end}" and found[1000 + i].n_email == 0
+        assert found[2000 + i].n_added == 1 and found[2000 + i].spans.startswith("phone:9:")
+    assert all(found[i].n_added == 0 for i in range(260)) and found[3000].n_added == found[3001].n_added == 0
+
+
+def test_nothing_is_added_without_examples(spark, tmp_path):
+    rows = [(i, f"no data here, 12 34, lot {i}, 212 555-42{i % 90 + 10}") for i in range(50)]
+    assert all(r.spans == "" for r in same(spark, rows, tmp_path))
 
 
 def test_boosting_separates_cells():
