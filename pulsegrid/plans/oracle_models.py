@@ -529,3 +529,25 @@ SELECT spec, term, max(observed_beta) AS observed_beta, avg(beta) AS placebo_mea
 FROM mpl5 GROUP BY spec, term""")
 cte("mplall", f"SELECT * EXCLUDE (bs), {midpoint('bs', 0.025)} AS placebo_ci95_lo, {midpoint('bs', 0.975)} AS placebo_ci95_hi FROM mpl6")
 twin("matched_placebos", "spec:s term:s observed_beta:f placebo_mean:f placebo_sd:f p_placebo_two_sided:f n_usable:i placebo_ci95_lo:f placebo_ci95_hi:f", "mplall")
+
+_INTERVALS = {"lambda_plus": "lambda_plus", "lambda_minus": "lambda_minus", "A_fx_fx": "A_fx_fx", "A_fx_gg": "A_fx_gg", "A_gg_gg": "A_gg_gg", "rotation": "rotation_gg_minus_fx",
+              "vplus_fx": "vplus_fx", "vplus_gg": "vplus_gg", "vminus_fx": "vminus_fx", "vminus_gg": "vminus_gg"}
+cte("rif0", "SELECT name, list_sort(list(v)) AS vs FROM bsp, LATERAL (VALUES " + ", ".join(f"('{n}', \"{c}\")" for n, c in _INTERVALS.items()) + ") u(name, v) GROUP BY name")
+cte("rif1", f"""
+SELECT name || '_ci95_' || s AS metric, CASE WHEN s = 'lo' THEN {midpoint('vs', 0.025)} ELSE {midpoint('vs', 0.975)} END AS value FROM rif0, (VALUES ('lo'), ('hi')) t(s)""")
+cte("rif2", """
+SELECT (1 + count(*) FILTER (p.lambda_plus >= o.lp)) / (count(*) + 1.0) AS a, (1 + count(*) FILTER (p.lambda_minus <= o.lm)) / (count(*) + 1.0) AS b,
+  (1 + count(*) FILTER (p.lambda_plus >= o.lp AND p.lambda_minus <= o.lm)) / (count(*) + 1.0) AS c,
+  (1 + count(*) FILTER (p.rotation_gg_minus_fx >= o.c - o.a)) / (count(*) + 1.0) AS d, count(*)::DOUBLE AS n FROM psp p, svec o""")
+cte("rif3", "SELECT avg((lambda_plus > 0 AND lambda_minus < 0)::INT) AS a, count(*)::DOUBLE AS n FROM bsp")
+cte("rif4", """
+SELECT avg((lambda_plus > 0 AND lambda_minus < 0)::INT) AS a, min(lambda_plus) AS pl, max(lambda_plus) AS ph, min(lambda_minus) AS ml, max(lambda_minus) AS mh,
+  min(rotation_gg_minus_fx) AS rl, max(rotation_gg_minus_fx) AS rh FROM sloo""")
+cte("rif", """
+SELECT metric, value FROM rif1
+UNION ALL SELECT m.metric, m.value FROM rif2, LATERAL (VALUES ('p_placebo_lambda_plus', a), ('p_placebo_lambda_minus', b), ('p_placebo_joint_indefinite', c),
+  ('p_placebo_rotation_positive', d), ('placebo_draws', n)) m(metric, value)
+UNION ALL SELECT m.metric, m.value FROM rif3, LATERAL (VALUES ('bootstrap_share_indefinite', a), ('bootstrap_draws', n)) m(metric, value)
+UNION ALL SELECT m.metric, m.value FROM rif4, LATERAL (VALUES ('loo_share_indefinite', a), ('loo_lambda_plus_min', pl), ('loo_lambda_plus_max', ph), ('loo_lambda_minus_min', ml),
+  ('loo_lambda_minus_max', mh), ('loo_rotation_min', rl), ('loo_rotation_max', rh)) m(metric, value)""")
+twin("rotation_inference", "metric:s value:f", "rif")
