@@ -551,3 +551,35 @@ UNION ALL SELECT m.metric, m.value FROM rif3, LATERAL (VALUES ('bootstrap_share_
 UNION ALL SELECT m.metric, m.value FROM rif4, LATERAL (VALUES ('loo_share_indefinite', a), ('loo_lambda_plus_min', pl), ('loo_lambda_plus_max', ph), ('loo_lambda_minus_min', ml),
   ('loo_lambda_minus_max', mh), ('loo_rotation_min', rl), ('loo_rotation_max', rh)) m(metric, value)""")
 twin("rotation_inference", "metric:s value:f", "rif")
+
+# ---- continuation of the resolution study -------------------------------------------------------
+
+cte("ccx", """
+SELECT scenario, trade_date, is_event, year_number, [1.0, z0, z1, z2, z3, z4, clock_late, (weekday_number = 3)::INT, (weekday_number = 4)::INT, (weekday_number = 5)::INT,
+  (weekday_number = 6)::INT, yz, yz * yz]::DOUBLE[] AS x, [d_11, d_12, d_22]::DOUBLE[] AS y
+FROM (SELECT *, (year_number - avg(year_number) FILTER (NOT is_event) OVER s) / stddev_samp(year_number) FILTER (NOT is_event) OVER s AS yz FROM rs
+  WINDOW s AS (PARTITION BY scenario)) q""")
+cte("ccg0", """
+SELECT y.scenario, y.year_number, i, j, sum(z[i] * z[j]) AS v0, sum(z[i] * z[j]) FILTER (r.year_number <> y.year_number) AS v1
+FROM (SELECT DISTINCT scenario, year_number FROM ccx) y JOIN (SELECT scenario, year_number, list_concat(x, y) AS z FROM ccx WHERE NOT is_event) r ON r.scenario = y.scenario,
+  unnest(range(1, 17)) a(i), unnest(range(1, 17)) b(j) GROUP BY y.scenario, y.year_number, i, j""")
+cte("ccg1", """
+SELECT scenario, year_number, list(r0 ORDER BY i) AS g0, list(r1 ORDER BY i) AS g1 FROM (
+  SELECT scenario, year_number, i, list(v0 ORDER BY j) AS r0, list(v1 ORDER BY j) AS r1 FROM ccg0 GROUP BY scenario, year_number, i) q GROUP BY scenario, year_number""")
+cte("ccg2", """
+SELECT scenario, year_number, g, greatest(list_sum(list_transform(range(1, 14), lambda i: g[i][i])) / 13, 1.0) * 1e-6 AS ridge
+FROM (SELECT *, CASE WHEN g1[1][1] >= 23 THEN g1 ELSE g0 END AS g FROM ccg1) q""")
+cte("ccg3", f"""
+SELECT scenario, year_number, g, {swept('h', '13')} AS s FROM (SELECT *, list_transform(range(1, 17), lambda i: list_transform(range(1, 17),
+  lambda j: g[i][j] + CASE WHEN i = j AND i > 1 AND i <= 13 THEN ridge ELSE 0 END)) AS h FROM ccg2) q""")
+cte("ccp", """
+SELECT r.scenario, r.trade_date, r.is_event, o, r.y[o] AS y, list_dot_product(r.x, list_transform(range(1, 14), lambda i: f.s[i][13 + o])) AS lin, f.g[1][13 + o] / f.g[1][1] AS base
+FROM ccx r JOIN ccg3 f ON f.scenario = r.scenario AND f.year_number = r.year_number, unnest(range(1, 4)) q(o)""")
+cte("cca", """
+SELECT scenario, o, count(*) AS n, CASE WHEN sum(pow(lin - base, 2)) > 0 THEN least(greatest(sum((y - base) * (lin - base)) / sum(pow(lin - base, 2)), 0.0), 1.0) ELSE 0.0 END AS a,
+  sum(y * y) - pow(sum(y), 2) / count(*) AS tss FROM ccp WHERE NOT is_event GROUP BY scenario, o""")
+cte("ccd", """
+SELECT p.scenario, ['d_11', 'd_12', 'd_22'][p.o] AS outcome, 1 - sum(pow(p.y - p.lin, 2)) / any_value(a.tss) AS linear_leave_year_out_r2, any_value(a.a) AS shrinkage_weight,
+  1 - sum(pow(p.y - p.base - a.a * (p.lin - p.base), 2)) / any_value(a.tss) AS leave_year_out_r2, any_value(a.n) AS n_control
+FROM ccp p JOIN cca a ON a.scenario = p.scenario AND a.o = p.o WHERE NOT p.is_event GROUP BY p.scenario, p.o""")
+twin("continuation_diagnostics", "scenario:s outcome:s linear_leave_year_out_r2:f shrinkage_weight:f leave_year_out_r2:f n_control:i", "ccd")
