@@ -583,3 +583,29 @@ SELECT p.scenario, ['d_11', 'd_12', 'd_22'][p.o] AS outcome, 1 - sum(pow(p.y - p
   1 - sum(pow(p.y - p.base - a.a * (p.lin - p.base), 2)) / any_value(a.tss) AS leave_year_out_r2, any_value(a.n) AS n_control
 FROM ccp p JOIN cca a ON a.scenario = p.scenario AND a.o = p.o WHERE NOT p.is_event GROUP BY p.scenario, p.o""")
 twin("continuation_diagnostics", "scenario:s outcome:s linear_leave_year_out_r2:f shrinkage_weight:f leave_year_out_r2:f n_control:i", "ccd")
+cte("ccr", """
+SELECT p.scenario, p.trade_date, p.is_event, p.o, p.y, p.base + a.a * (p.lin - p.base) AS mu, p.y - p.base - a.a * (p.lin - p.base) AS e FROM ccp p JOIN cca a ON a.scenario = p.scenario AND a.o = p.o""")
+cte("ccm", """
+SELECT r.scenario, r.trade_date, r.cd FROM rrank r JOIN rsup s ON s.scenario = r.scenario AND s.trade_date = r.trade_date WHERE s.retained AND r.is_event AND r.k <= 10""")
+cte("cce0", """
+SELECT m.scenario, m.trade_date, c.o, count(*) AS n, avg(c.y) AS cy, avg(c.e) AS ce FROM ccm m JOIN ccr c ON c.scenario = m.scenario AND c.trade_date = m.cd GROUP BY m.scenario, m.trade_date, c.o""")
+cte("cce", "SELECT e.scenario, e.trade_date, any_value(m.n) AS n_matches, " + ", ".join(
+    f"max({expression}) FILTER (e.o = {o}) AS {name}{s}" for name, expression in (
+        ("event_d", "e.y"), ("control_d", "m.cy"), ("raw_", "e.y - m.cy"), ("predicted_event_", "e.mu"), ("corrected_", "e.e - m.ce")) for o, s in ((1, "11"), (2, "12"), (3, "22")))
+    + ", max(e.e - m.ce) FILTER (e.o = 3) - max(e.e - m.ce) FILTER (e.o = 1) AS rotation_gg_minus_fx "
+    "FROM ccr e JOIN cce0 m ON m.scenario = e.scenario AND m.trade_date = e.trade_date AND m.o = e.o WHERE e.is_event GROUP BY e.scenario, e.trade_date")
+twin("corrected_events", "scenario:s trade_date:s n_matches:i " + " ".join(
+    f"{name}{s}:f" for name in ("event_d", "control_d", "raw_", "predicted_event_", "corrected_") for s in ("11", "12", "22")) + " rotation_gg_minus_fx:f", "cce")
+# Balance of the five features before and after matching.
+cte("ccb0", "SELECT scenario, trade_date, is_event, f, [z0, z1, z2, z3, z4][f + 1] AS v FROM rs, range(5) q(f)")
+cte("ccb1", "SELECT scenario, f, avg(v) AS m, stddev_samp(v) AS sd FROM ccb0 WHERE NOT is_event GROUP BY scenario, f")
+cte("ccb2", """
+SELECT scenario, f, avg(v) AS m FROM ccb0 b WHERE is_event AND EXISTS (SELECT 1 FROM ccm m WHERE m.scenario = b.scenario AND m.trade_date = b.trade_date) GROUP BY scenario, f""")
+cte("ccb3", """
+SELECT scenario, f, avg(m) AS m FROM (SELECT m.scenario, m.trade_date, c.f, avg(c.v) AS m FROM ccm m JOIN ccb0 c ON c.scenario = m.scenario AND c.trade_date = m.cd
+  GROUP BY m.scenario, m.trade_date, c.f) q GROUP BY scenario, f""")
+cte("ccb", """
+SELECT scenario, ['log_fx_pre', 'log_gg_pre', 'fisher_pre_corr', 'slow_fx', 'slow_gg'][f + 1] AS feature, e.m AS event_mean, b.m AS unmatched_control_mean, n.m AS matched_control_mean,
+  (e.m - b.m) / CASE WHEN b.sd > 0 THEN b.sd ELSE 1.0 END AS smd_before, (e.m - n.m) / CASE WHEN b.sd > 0 THEN b.sd ELSE 1.0 END AS smd_after
+FROM ccb1 b JOIN ccb2 e USING (scenario, f) JOIN ccb3 n USING (scenario, f)""")
+twin("matching_balance", "scenario:s feature:s event_mean:f unmatched_control_mean:f matched_control_mean:f smd_before:f smd_after:f", "ccb")
