@@ -12,7 +12,7 @@ from pulsegrid.functions import tails
 from pulsegrid.functions.frames import dot
 from pulsegrid.functions.quantiles import grouped_quantiles
 from pulsegrid.operators import regression as R
-from pulsegrid.operators.functional import _fit_and_leverage
+from pulsegrid.operators.functional import fit_and_leverage
 from pulsegrid.operators.regression import no_nan, solve, square
 
 # Outcomes with their pre-release counterpart and the abnormal column.
@@ -334,7 +334,7 @@ def leverage_by_date(windows: DataFrame, model: R.Model) -> DataFrame:
     """Summed leverage of an event model's rows per date."""
     rows = R.design(windows, [model], ["trade_date"])
     fit = R.fits(R.gram(rows, ["model_name"]), R.battery(windows, [model])).select("model_name", "beta", "inverse")
-    return rows.join(fit, "model_name").withColumn("f", _fit_and_leverage("x", "beta", "inverse")).groupBy(
+    return rows.join(fit, "model_name").withColumn("f", fit_and_leverage()).groupBy(
         "trade_date"
     ).agg(F.sum("f.leverage").alias("leverage"))
 

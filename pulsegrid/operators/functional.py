@@ -5,8 +5,9 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pulsegrid.functions.frames import dot
 from pulsegrid.functions.quantiles import grouped_quantiles
 from pulsegrid.functions.scalars import truncated_cubic_basis
 from pulsegrid.operators import regression as R
@@ -15,11 +16,9 @@ from pulsegrid.operators.regression import EFFECT_SCHEMA, t_columns
 FIRST_STAGE = R.Model("first_stage", "shock_target_10bp", ("regime_hike", "state_pre_rv_z"))
 
 
-@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("fitted", "leverage")]))
-def _fit_and_leverage(x: pd.Series, beta: pd.Series, inverse: pd.Series) -> pd.DataFrame:
-    fitted = [xi @ b for xi, b in zip(x, beta)]
-    lev = [xi @ inv.reshape(len(b), len(b)) @ xi for xi, b, inv in zip(x, beta, inverse)]
-    return pd.DataFrame({"fitted": fitted, "leverage": lev})
+def fit_and_leverage() -> Column:
+    x = F.col("x")
+    return F.struct(dot(x, F.col("beta")).alias("fitted"), R.leverage(x, F.col("inverse")).alias("leverage"))
 
 
 def purify_shocks(events: DataFrame, model: R.Model = FIRST_STAGE) -> DataFrame:
@@ -30,7 +29,7 @@ def purify_shocks(events: DataFrame, model: R.Model = FIRST_STAGE) -> DataFrame:
     rows = R.design(events, [model], ["event_date"])
     fit = R.fits(R.gram(rows, ["model_name"]), R.battery(events, [model]))
     scored = rows.join(fit.select("model_name", "beta", "inverse"), "model_name").withColumn(
-        "f", _fit_and_leverage("x", "beta", "inverse")
+        "f", fit_and_leverage()
     )
     resid = F.col("y") - F.col("f.fitted")
     left_out = resid / (1 - F.col("f.leverage"))

@@ -12,9 +12,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pulsegrid.functions import tails
+from pulsegrid.functions import packed, tails
 from pulsegrid.functions.frames import dot
 
 
@@ -202,22 +202,18 @@ def cluster_fit(rows: DataFrame, spec: DataFrame) -> DataFrame:
     return with_covariance(fitted, score_products(cluster_scores(rows, fitted)))
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _leverage_score(x: pd.Series, y: pd.Series, beta: pd.Series, inverse: pd.Series) -> pd.Series:
-    out = []
-    for xi, yi, b, inv in zip(x, y, beta, inverse):
-        k = len(b)
-        h = xi @ np.asarray(inv).reshape(k, k) @ xi
-        out.append(xi * ((yi - xi @ b) / max(1.0 - h, 1e-8)))
-    return pd.Series(out)
+def leverage(x: Column, inverse: Column) -> Column:
+    """x' A x with A, the inverse of X'X, row by row."""
+    return dot(x, packed.times(inverse, x, F.size(x)))
 
 
 def hc3_ols(rows: DataFrame, spec: DataFrame) -> DataFrame:
     """Fits with leverage-adjusted covariance; t tests use n - k degrees of freedom."""
     fitted = fits(gram(rows, ["model_name"]), spec)
-    scored = rows.join(fitted.select("model_name", "beta", "inverse"), "model_name").select(
-        "model_name", _leverage_score("x", "y", "beta", "inverse").alias("score")
+    known = rows.join(fitted.select("model_name", "beta", "inverse"), "model_name").withColumn(
+        "u", (F.col("y") - dot(F.col("x"), F.col("beta"))) / F.greatest(1 - leverage(F.col("x"), F.col("inverse")), F.lit(1e-8))
     )
+    scored = known.select("model_name", F.transform("x", lambda v: v * F.col("u")).alias("score"))
     return with_covariance(fitted, score_products(scored), clustered=False)
 
 
