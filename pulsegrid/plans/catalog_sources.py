@@ -119,7 +119,7 @@ def study_range(t: I.Tables) -> DataFrame:
 def release_clocks(t: I.Tables) -> DataFrame:
     """Announced releases on event sessions, scheduled ones on all other shipping days, 25 years on, so that both clocks occur."""
     later = lambda c: F.to_date(F.add_months(c, 300))
-    days = t["lineitem"].select(later(F.to_date("l_shipdate")).alias("trade_date")).distinct()
+    days = I.session_bars(t).select(later(F.to_date("Time")).alias("trade_date")).distinct()
     events = calendar.build_event_panel(I.session_clocks(t).where("is_event").select(
         later(F.col("trade_date")).alias("event_date"), F.lit("14:00").alias("pr_time"), F.lit("15:00").alias("pc_time")))
     clocks = variation.release_clocks(days, sinks.require_clocks(events))

@@ -1,7 +1,8 @@
 """Driver tables in the shapes of the study (see FIXTURES.md).
 
 Hourly bars come from ``events``, daily paired bars from ``lineitem`` and a surprise series from
-``orders``. Every mapping is one aggregation with map-side combining on keys that contain the time.
+``orders``. Every mapping is an aggregation with map-side combining on keys that contain the time. Bars and
+order sums are steps: a large table is read for them once in a run, however many later steps use them.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegrid.config import CleaningRules, DayQualityRules, GridRules, SelectionRules, WindowRules
 from pulsegrid.functions import scalars as S
+from pulsegrid.plans.stages import stage
+from pulsegrid.session import durable
 
 HOURLY = 60
 HOURLY_ORIGIN = "2024-01-01"
@@ -45,20 +48,36 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder.rstrip('/')}/{name}.parquet")
 
 
+def at_edges(rows: DataFrame, groups: DataFrame, keys: list[str], edge) -> DataFrame:
+    """Rows of their group that ``edge`` holds for; null keys are a group of their own.
+
+    A first or last value by several columns needs the rows at its leading column's edge only. That edge is a plain number,
+    so the whole table is aggregated by hashing; max_by with a struct would sort it.
+    """
+    named = groups.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(named, same & edge).drop(*named.columns)
+
+
+@stage
 def hourly_bars(t: Tables) -> DataFrame:
     """One bar per event type and hour."""
+    keys = ["event_type", "hour"]
+    rows = t["events"].select("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "ts", "event_id", "value")
+    groups = durable(rows.groupBy(*keys).agg(
+        F.min("ts").alias("first"), F.max("ts").alias("last"), F.max("value").alias("High"), F.min("value").alias("Low"),
+        F.count(F.lit(1)).cast("double").alias("Volume"),
+    ))
     order = F.struct("ts", "event_id")
-    kind = F.col("event_type")
+    edges = at_edges(
+        rows, groups.select(*keys, "first", "last"), keys, F.col("ts").eqNullSafe(F.col("first")) | F.col("ts").eqNullSafe(F.col("last"))
+    ).groupBy(*keys).agg(F.min_by("value", order).alias("Open"), F.max_by("value", order).alias("Latest"))
+    both = [F.col(f"g.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys]
     return (
-        t["events"]
-        .groupBy(kind.alias("file_name_clean"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("Time"))
-        .agg(
-            F.min_by("value", order).alias("Open"),
-            F.max("value").alias("High"),
-            F.min("value").alias("Low"),
-            F.max_by("value", order).alias("Latest"),
-            F.count(F.lit(1)).cast("double").alias("Volume"),
-        )
+        groups.alias("g").join(edges.alias("e"), both)
+        .select(F.col("g.event_type").alias("file_name_clean"), F.col("g.hour").alias("Time"), "Open", "High", "Low", "Latest", "Volume")
         .withColumns(
             {
                 "root_code": F.when(F.col("file_name_clean").isin("click", "view"), "fx").otherwise("gg"),
@@ -72,8 +91,7 @@ def hourly_bars(t: Tables) -> DataFrame:
 
 def hourly_calendar(t: Tables) -> DataFrame:
     """An event on every third day of the data, released at 14:00 and discussed at 15:00 local time."""
-    day = F.to_date("ts")
-    days = t["events"].select(day.alias("event_date")).distinct().where(
+    days = hourly_bars(t).select(F.to_date("Time").alias("event_date")).distinct().where(
         F.pmod(F.datediff("event_date", F.lit(HOURLY_ORIGIN)), F.lit(3)) == 0
     )
     return days.withColumns({"pr_time": F.lit("14:00"), "pc_time": F.lit("15:00")})
@@ -121,32 +139,32 @@ def session_of(day: F.Column) -> F.Column:
     return F.floor(F.datediff(day, F.lit(SESSION_ORIGIN)) / SESSION_DAYS).cast("int")
 
 
+@stage
 def session_bars(t: Tables) -> DataFrame:
     """One daily bar per line status (root), return flag (contract) and ship date."""
-    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    day = F.to_date("l_shipdate")
-    return (
-        t["lineitem"]
-        .groupBy("l_linestatus", "l_returnflag", day.alias("day"))
-        .agg(
-            F.max_by("l_extendedprice", order).alias("Latest"),
-            F.sum("l_quantity").alias("Volume"),
-        )
-        .select(
-            F.concat_ws("_", "l_linestatus", "l_returnflag").alias("file_name_clean"),
-            F.when(F.col("l_linestatus") == "O", "fx").otherwise("gg").alias("root_code"),
-            F.col("day").cast("timestamp_ntz").alias("Time"),
-            F.date_add(F.lit(SESSION_ORIGIN).cast("date"), session_of(F.col("day")) * SESSION_DAYS).alias("trade_date"),
-            "Latest",
-            "Volume",
-        )
+    keys = ["l_linestatus", "l_returnflag", "day"]
+    rows = t["lineitem"].select("*", F.to_date("l_shipdate").alias("day"))
+    groups = durable(rows.groupBy(*keys).agg(F.max("l_orderkey").alias("last"), F.sum("l_quantity").alias("Volume")))
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    latest = at_edges(
+        rows, groups.select(*keys, "last"), keys, F.col("l_orderkey").eqNullSafe(F.col("last"))
+    ).groupBy(*keys).agg(F.max_by("l_extendedprice", order).alias("Latest"))
+    both = [F.col(f"g.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys]
+    status, flag, day = (F.col(f"g.{k}") for k in keys)
+    return groups.alias("g").join(latest.alias("e"), both).select(
+        F.concat_ws("_", status, flag).alias("file_name_clean"),
+        F.when(status == "O", "fx").otherwise("gg").alias("root_code"),
+        day.cast("timestamp_ntz").alias("Time"),
+        F.date_add(F.lit(SESSION_ORIGIN).cast("date"), session_of(day) * SESSION_DAYS).alias("trade_date"),
+        "Latest",
+        "Volume",
     )
 
 
 def session_clocks(t: Tables) -> DataFrame:
     """One row per session: its release is on day 5, every third session is an event."""
     start = F.date_add(F.lit(SESSION_ORIGIN).cast("date"), F.col("session") * SESSION_DAYS)
-    sessions = t["lineitem"].select(session_of(F.to_date("l_shipdate")).alias("session")).distinct()
+    sessions = session_bars(t).select(session_of(F.to_date("Time")).alias("session")).distinct()
     release = F.date_add(start, 5).cast("timestamp_ntz")
     event = F.col("session") % 3 == 0
     name = F.date_format(start, "yyyyMMdd")
@@ -172,23 +190,28 @@ def session_calendar_columns(session: F.Column) -> dict[str, F.Column]:
     }
 
 
+#: Series of surprises and the order priority each is taken over; the first takes all orders.
+_SERIES = {"1m": None, "6m": "1", "1y": "2", "2y": "3", "3y": "4"}
+
+
+@stage
+def session_orders(t: Tables) -> DataFrame:
+    """Sum and number of order prices per session and series."""
+    price = F.col("o_totalprice")
+    own = {m: price if p is None else F.when(F.substring("o_orderpriority", 1, 1) == p, price) for m, p in _SERIES.items()}
+    return t["orders"].groupBy(session_of(F.to_date("o_orderdate")).alias("session")).agg(
+        *[f(v).alias(f"{n}_{m}") for m, v in own.items() for n, f in (("sum", F.sum), ("n", F.count))]
+    )
+
+
 def session_surprises(t: Tables) -> DataFrame:
     """Surprise of each session: its mean order value against the overall mean, by priority as well."""
-    orders = t["orders"].select(
-        session_of(F.to_date("o_orderdate")).alias("session"),
-        F.col("o_totalprice").alias("price"),
-        F.substring("o_orderpriority", 1, 1).alias("priority"),
-    )
-    series = {"1m": F.lit(True)} | {
-        m: F.col("priority") == p for m, p in (("6m", "1"), ("1y", "2"), ("2y", "3"), ("3y", "4"))
-    }
-    mean = lambda cond: F.avg(F.when(cond, F.col("price")))
-    overall = orders.agg(*[mean(c).alias(m) for m, c in series.items()])
-    per = orders.groupBy("session").agg(*[mean(c).alias(m) for m, c in series.items()])
+    per = session_orders(t)
+    overall = per.agg(*[S.ratio(F.sum(f"sum_{m}"), F.sum(f"n_{m}")).alias(m) for m in _SERIES])
     start = F.date_add(F.lit(SESSION_ORIGIN).cast("date"), F.col("session") * SESSION_DAYS)
-    level = {m: overall.select(m).scalar() for m in series}
+    mean = lambda m: S.ratio(F.col(f"sum_{m}"), F.col(f"n_{m}"))
     return per.select(
         "session",
         start.alias("event_date"),
-        *[((F.col(m) - level[m]) / 1000).alias(f"ois_{m}_raw") for m in series],
+        *[((mean(m) - overall.select(m).scalar()) / 1000).alias(f"ois_{m}_raw") for m in _SERIES],
     ).withColumn("shock_target", F.col("ois_1m_raw"))
