@@ -57,26 +57,55 @@ def wild_scores(clusters: DataFrame, tests: dict[str, list[int]]) -> DataFrame:
                          packed.times(F.col("xx"), F.col("a"), F.col("k")).alias("r"))
 
 
-def wild_draws(scores: DataFrame, draws: int, seed: int) -> DataFrame:
-    """(model_name, column, draw, t) of every draw; draw 0 has all signs 1, which gives the data back.
+# Draws and clusters whose signs meet the scores at a time.
+_DRAWS_AT_ONCE, _CLUSTERS_AT_ONCE = 64, 1024
+
+
+def signed_sums(scores: DataFrame, draws: int, seed: int) -> DataFrame:
+    """(model_name, column, draw, s): sums over clusters of their vectors ``s`` with the draw's signs; draw 0 has all signs 1.
 
-    Signs are hashes of (seed, draw, cluster) and meet the clusters' scores only, so a draw adds one short vector per
-    cluster, summed where it is.
+    Signs are hashes of (seed, draw, cluster), made once for all models. Blocks of clusters meet blocks of draws, as one product of
+    two small matrices for each tested column; the blocks' sums are added after that. No row is copied per draw.
     """
     keys = ["model_name", "column"]
-    width = scores.agg(F.max("k")).first()[0] or 1
-    sign = F.when(F.col("draw") == 0, 1.0).otherwise(rademacher(seed, F.col("draw"), F.col("cluster")))
-    spread = scores.select(*keys, "cluster", "p", "v", F.transform("r", lambda x: x * F.col("p")).alias("pr"), F.explode(F.sequence(F.lit(0), F.lit(draws))).alias("draw")).withColumn("sign", sign)
-    sums = [F.sum(F.col("sign") * F.get(c, F.lit(i))).alias(f"{c}{i}") for c in ("v", "pr") for i in range(width)]
-    drawn = spread.groupBy(*keys, "draw").agg(*sums)
+    clusters = scores.select(F.col("cluster").alias("unit")).distinct()
+    deals = clusters.count() // _CLUSTERS_AT_ONCE + 1
+    deal = lambda c: F.pmod(F.xxhash64(c), F.lit(deals)).cast("int")
+    block = F.explode(F.sequence(F.lit(0), F.lit(draws // _DRAWS_AT_ONCE)))
+    own = scores.where("s IS NOT NULL").select(*keys, "cluster", "s", deal("cluster").alias("_of"), block.alias("_for"))
+    within = F.explode(F.sequence(F.col("_block") * _DRAWS_AT_ONCE, F.least(F.col("_block") * _DRAWS_AT_ONCE + _DRAWS_AT_ONCE - 1, F.lit(draws))))
+    sign = F.when(F.col("draw") == 0, 1.0).otherwise(rademacher(seed, F.col("draw"), F.col("unit"))).alias("sign")
+    signs = clusters.select("unit", deal("unit").alias("_deal"), block.alias("_block")).select("unit", "_deal", "_block", within.alias("draw")).select("*", sign)
+
+    def each(given: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        at, _ = pd.factorize(pd.concat([given["unit"], found["cluster"]]), use_na_sentinel=False)
+        numbers, row = np.unique(given["draw"].to_numpy(), return_inverse=True)
+        matrix = np.zeros((len(numbers), at.max(initial=-1) + 1))
+        matrix[row, at[: len(given)]] = given["sign"].to_numpy()
+        out = []
+        for (model, column), g in found.assign(_at=at[len(given):]).groupby(keys):
+            sums = matrix[:, g["_at"].to_numpy()] @ np.vstack(g["s"])
+            out += [(model, column, int(d), v.tolist()) for d, v in zip(numbers, sums)]
+        return pd.DataFrame(out, columns=[*keys, "draw", "s"])
+
+    met = signs.groupBy("_deal", "_block").cogroup(own.groupBy("_of", "_for")).applyInPandas(
+        each, "model_name string, column int, draw int, s array<double>")
+    return packed.summed(met, [*keys, "draw"], "s")
+
+
+def wild_draws(scores: DataFrame, draws: int, seed: int) -> DataFrame:
+    """(model_name, column, draw, t) of every draw; draw 0 has all signs 1, which gives the data back."""
+    keys = ["model_name", "column"]
+    vectors = F.concat("v", F.transform("r", lambda x: x * F.col("p")))
+    drawn = signed_sums(scores.select(*keys, "cluster", F.transform(vectors, lambda x: F.coalesce(x, F.lit(0.0))).alias("s")), draws, seed)
     whole = scores.groupBy(*keys).agg(F.first("k").alias("k"), F.first("inverse").alias("inverse"), F.first("n_obs").alias("n"),
                                       F.first("clusters").alias("g"), F.sum(F.col("p") * F.col("p")).alias("pp"))
     outer = packed.summed(scores.select(*keys, packed.products(F.col("r")).alias("rr")), keys, "rr")
     fixed = F.broadcast(whole.join(outer, keys).withColumn("rr", packed.whole(F.col("rr"), F.col("k"))))  # one row per tested column
     both = drawn.join(fixed, keys)
     k = F.col("k")
-    vector = lambda c: F.slice(F.array(*[F.col(f"{c}{i}") for i in range(width)]), F.lit(1), k)
-    delta = both.select(*keys, "draw", "k", "n", "g", "pp", "rr", vector("pr").alias("pr"), packed.times(F.col("inverse"), vector("v"), k).alias("delta"))
+    delta = both.select(*keys, "draw", "k", "n", "g", "pp", "rr", F.slice("s", k + 1, k).alias("pr"),
+                        packed.times(F.col("inverse"), F.slice("s", F.lit(1), k), k).alias("delta"))
     squares = F.col("pp") - 2 * dot(F.col("delta"), F.col("pr")) + dot(F.col("delta"), packed.times(F.col("rr"), F.col("delta"), k))
     scale = F.col("g") / F.greatest(F.col("g") - 1, F.lit(1)) * (F.col("n") - 1) / F.greatest(F.col("n") - k, F.lit(1.0))
     return delta.withColumn("variance", scale * squares).select(
@@ -89,7 +118,7 @@ def wild_cluster_p(rows: DataFrame, tests: dict[str, list[int]], draws: int = 99
     Rows are read once, into cross products per cluster; see :func:`wild_scores` and :func:`wild_draws`.
     """
     own = rows.where(F.col("model_name").isin(list(tests)))
-    t = no_nan(wild_draws(durable(wild_scores(durable(cluster_products(own)), tests)), draws, seed))
+    t = durable(no_nan(wild_draws(durable(wild_scores(durable(cluster_products(own)), tests)), draws, seed)))
     observed = t.where("draw = 0").select("model_name", "column", F.col("t").alias("t_observed"))
     counted = t.where("draw > 0 AND t IS NOT NULL").join(F.broadcast(observed), ["model_name", "column"]).groupBy("model_name", "column").agg(
         F.sum((F.abs("t") >= F.abs("t_observed")).cast("long")).alias("exceed"), F.count("t").alias("n_usable"))

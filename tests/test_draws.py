@@ -128,3 +128,18 @@ def test_leave_year_out_ridge_matches_refits(spark):
             beta = np.linalg.solve(h + penalty, z.T @ (y * np.asarray(train)[:, None]))
             assert np.allclose(g.loc[own, [f"lin_{c}" for c in resolution.OUTCOMES]], z[own] @ beta, atol=1e-8)
             assert np.allclose(g.loc[own, [f"base_{c}" for c in resolution.OUTCOMES]], np.average(y, axis=0, weights=train))
+
+
+def test_signed_sums_meet_in_blocks(spark, monkeypatch):
+    """Sums over blocks of clusters and draws are those of one product; nothing is copied per draw."""
+    monkeypatch.setattr(resampling, "_DRAWS_AT_ONCE", 4)
+    monkeypatch.setattr(resampling, "_CLUSTERS_AT_ONCE", 5)
+    rows = [(m, c, None if i == 0 else f"d{i}", [float(i * c + 1), float(i % 3), 0.5 * i][: 2 + (m == "b")]) for m in "ab" for c in (1, 2) for i in range(17)]
+    scores = spark.createDataFrame(rows, "model_name string, column int, cluster string, s array<double>")
+    got = {(r.model_name, r.column, r.draw): r.s for r in resampling.signed_sums(scores, 10, 3).collect()}
+    sign = {(r.cluster, r.draw): r.w for r in scores.select("cluster").distinct().crossJoin(spark.range(1, 11).select(F.col("id").cast("int").alias("draw"))).select(
+        "cluster", "draw", draws.rademacher(3, F.col("draw"), F.col("cluster")).alias("w")).collect()}
+    assert set(got) == {(m, c, d) for m in "ab" for c in (1, 2) for d in range(11)}
+    for (m, c, d), s in got.items():
+        want = sum(np.array(r[3]) * (1.0 if d == 0 else sign[r[2], d]) for r in rows if r[:2] == (m, c))
+        assert np.allclose(s, want)
