@@ -147,12 +147,18 @@ def shared_sets(docs: DataFrame, width: int, percent: int, id_col: str, text_col
 # ---- signatures -------------------------------------------------------------------------------------
 
 
+def spread(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """An inner join by exchange, never by broadcast: for rows made of lists, or written in runs, whose size the planner takes to be that of
+    the lists or the file. A list of m tokens has m (m - 1) / 2 pairs, and a broadcast goes through the driver."""
+    return rows.join(others.hint("merge"), key)
+
+
 def ordered_prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """(doc, own, rare, frequent): tokens no other set holds are counted; of the rest, the rare and the frequent ones
     within the prefix of e + 1 or, with frequent ones, e + 2 tokens."""
     held = sets.select("doc", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     counts = held.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > 1)
-    listed = held.join(counts, "token").groupBy("doc").agg(
+    listed = spread(held, counts, "token").groupBy("doc").agg(
         F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("shared"))
     own = F.col("n") - F.size("shared")
     spare = most_missing(F.col("n"), percent) - own
@@ -197,7 +203,7 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def central_pairs(signed: DataFrame) -> DataFrame:
     """(a, b): every member of a signature with its most central member."""
     central = signed.groupBy("sig").agg(F.min(F.struct("own", "doc")).alias("least"), F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
-    return signed.join(central, "sig").where(F.col("doc") != F.col("least.doc")).select(
+    return spread(signed, central, "sig").where(F.col("doc") != F.col("least.doc")).select(
         F.least("doc", "least.doc").alias("a"), F.greatest("doc", "least.doc").alias("b")).distinct()
 
 
@@ -242,16 +248,17 @@ def block_links(hot: DataFrame, listed: DataFrame, sets: DataFrame, percent: int
     dealt to blocks, and every two blocks meet in a task of their own, as two matrices of token counts, so no pair is
     ever a row. ``hot`` has (sig, list), ``listed`` (list, doc, component)."""
     heads = hot.groupBy("sig").agg(F.min("list").alias("head"))
-    met = hot.join(heads, "sig").select(F.col("head").alias("a"), F.col("list").alias("b"))
+    met = spread(hot, heads, "sig").select(F.col("head").alias("a"), F.col("list").alias("b"))
     clusters = components(met)
     alone = hot.select("list").distinct().join(clusters, F.col("list") == F.col("node"), "left").select(
         "list", F.coalesce("component", "list").alias("cluster"))
     dealt = listed.join(alone, "list").select("doc", "component", "cluster").distinct()
     sizes = dealt.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("cells"))
     dealt = dealt.join(sizes, "cluster").withColumn("cell", F.pmod(F.xxhash64("doc"), F.col("cells")))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select(
-        "cluster", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "doc", "component")
-    loaded = met.join(sets.select("doc", "tokens"), "doc")
+    # A set meets its document before it goes to the pairs of blocks.
+    held = dealt.join(sets.select("doc", "tokens"), "doc")
+    loaded = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select(
+        "cluster", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "doc", "component", "tokens")
 
     def meet(table: pa.Table) -> pa.Table:
         doc, component = table["doc"].to_numpy(), table["component"].to_numpy()
@@ -290,7 +297,7 @@ def join_ngrams(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_
     # The first token two sets share, and what follows it in either.
     rare = durable(placed(rare.select("sig", "doc", "n", (F.col("n") - F.col("own") - F.col("at")).alias("rest")), labels))
     per_doc = [F.col("component").alias("low"), F.col("component").alias("high"), F.lit(1).alias("members")]
-    open_rare = rare.join(open_signatures(rare.select("sig", *per_doc)), "sig").select("sig", "doc", "component", "n", "rest")
+    open_rare = rare.join(open_signatures(rare.select("sig", *per_doc)), "sig", "left_semi").select("sig", "doc", "component", "n", "rest")
     frequent = placed(prefixes.where(F.size("frequent") > 1).select("doc", "frequent", "n", (F.col("own") + F.size("rare")).alias("before")), labels)
     single = frequent.select("component", "doc", F.explode("frequent").alias("sig"))
     apart = single.join(open_signatures(single.select("sig", *per_doc)), "sig", "left_semi").select("doc").distinct()
@@ -298,10 +305,10 @@ def join_ngrams(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_
     listed = durable(frequent.join(apart, "doc", "left_semi").select(F.xxhash64("frequent").alias("list"), "frequent", "doc", "component", "n", "before"))
     lists = listed.groupBy("list", "frequent").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
     combined = pair_signatures(lists)
-    sized = durable(combined.select("sig", "list", "at").join(open_signatures(combined), "sig"))
+    sized = durable(spread(combined.select("sig", "list", "at"), open_signatures(combined), "sig"))
     # Two tokens shared, the second at its place, and what follows it.
     rest = F.col("n") - F.col("before") - F.col("at") + 1
-    few = sized.where(F.col("members") <= HOT).join(listed.drop("frequent"), "list").select("sig", "doc", "component", "n", rest.alias("rest"))
+    few = spread(sized.where(F.col("members") <= HOT), listed.drop("frequent"), "list").select("sig", "doc", "component", "n", rest.alias("rest"))
     hot = durable(sized.where(F.col("members") > HOT).select("sig", "list"))
     more = verified(cross_pairs(open_rare.unionByName(few), percent), sets, percent)
     if not hot.isEmpty():

@@ -93,6 +93,41 @@ def test_families_chains_and_templates(spark, small, seed):
     assert found(ngram_join.join_ngrams(docs)) == brute(table)
 
 
+def broadcast_lists(plan):
+    """Lines of a plan that make rows of lists right below a broadcast, with no shuffle, and so no measured size, between."""
+    found, at, free = [], None, True
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if at is not None and depth <= at:
+            at = None
+        if "BroadcastExchange" in line:
+            at, free = depth, True
+        elif at is not None and " Exchange " in line:
+            free = False
+        elif at is not None and free and "Generate" in line:
+            found.append(line.strip())
+    return found
+
+
+def test_pairs_of_tokens_are_not_broadcast(spark, small, monkeypatch):
+    """A few lists of tokens look small, their pairs are not: no join sends them through the driver."""
+    plans, write = [], ngram_join.durable
+
+    def written(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(ngram_join, "durable", written)
+    rng = random.Random(5)
+    passages = [corpus.words(rng, 40) for _ in range(4)]
+    table = [(i, " ".join(corpus.words(rng, rng.choice([3, 8, 10])) + passages[i % 4] + corpus.words(rng, rng.choice([0, 3, 8])))) for i in range(120)]
+    result = ngram_join.join_ngrams(spark.createDataFrame(table, "doc_id long, text string").repartition(4))
+    assert found(result) == brute(table)
+    plans.append(result._jdf.queryExecution().executedPlan().toString())
+    assert any("Generate posexplode(slice(frequent" in p for p in plans) and not [x for p in plans for x in broadcast_lists(p)]
+
+
 def test_table(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     assert found(ngram_join.join_ngrams(table)) == brute([tuple(r) for r in table.collect()])
